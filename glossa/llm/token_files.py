@@ -16,7 +16,6 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -125,9 +124,10 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, level: int
                 fs.create_dir(inner, recursive=True)
                 out = fs.open_output_stream(f"{inner}/.{name}", compression=None)
                 writer = FrameWriter(out, level, frame_bytes)
-            ids = [x + END for x in enc.encode_all(batch.column("text").to_pylist())]
-            at = [writer.add(x) for x in ids]
-            yield pa.record_batch([pa.array([name] * len(ids)), pa.array([part] * len(ids), pa.int32()), batch.column("doc_id"), pa.array(at, pa.int64()), pa.array([len(x) for x in ids], pa.int64())], names=["file", "part", "doc_id", "at", "size"])
+            placed = [(writer.add(x + END), len(x) + 4) for x in enc.encode_all(batch.column("text").to_pylist())]
+            n = len(placed)
+            at, size = zip(*placed, strict=True)
+            yield pa.record_batch([pa.array([name] * n), pa.array([part] * n, pa.int32()), batch.column("doc_id"), pa.array(at, pa.int64()), pa.array(size, pa.int64())], names=["file", "part", "doc_id", "at", "size"])
         if writer:
             writer.close()
             out.close()
@@ -135,24 +135,31 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, level: int
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(n, F.asc("doc_id"), F.asc("text")).sortWithinPartitions(F.asc("doc_id"), F.asc("text"))
+    ranged = rows.repartitionByRange(n, F.asc("doc_id")).sortWithinPartitions(F.asc("doc_id"), F.asc("text"))
     # the index is written before anything is read, so that all files exist and each is named by the attempt that counts
     return cut(ranged.mapInArrow(task, "file string, part int, doc_id long, at long, size long"), "token-index")
 
 
+def _documents(batches: Iterator[pa.RecordBatch], folder: str, rows: int = 500) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Stretches of the index with the ids of their documents, few at a time."""
+    fs, inner = filesystem(folder)
+    name, reader = None, None
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            part, got = batch.slice(k, rows), []
+            for f, at, size in zip(*(part.column(x).to_pylist() for x in ("file", "at", "size")), strict=True):
+                if f != name:
+                    name, reader = f, FrameReader(fs.open_input_file(f"{inner}/{f}"))
+                got.append(reader.read(at, size))
+            yield part, got
+
+
 def read(index: DataFrame, folder: str) -> DataFrame:
     """Read documents back by the index: its columns and ids (binary, little-endian unsigned 32-bit integers)."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, inner = filesystem(folder)
-        name, reader = None, None
-        for batch in batches:
-            got = []
-            for f, at, size in zip(*(batch.column(x).to_pylist() for x in ("file", "at", "size")), strict=True):
-                if f != name:
-                    name, reader = f, FrameReader(fs.open_input_file(f"{inner}/{f}"))
-                got.append(reader.read(at, size))
-            yield pa.record_batch([*batch.columns, pa.array(got, pa.binary())], names=[*batch.schema.names, "ids"])
+        for part, got in _documents(batches, folder):
+            yield pa.record_batch([*part.columns, pa.array(got, pa.binary())], names=[*part.schema.names, "ids"])
 
     return index.mapInArrow(task, "file string, part int, doc_id long, at long, size long, ids binary")
 
@@ -170,12 +177,11 @@ def digest(index: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, all but start from the ids that the files give back."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("ids")
-            views = [np.frombuffer(x.as_buffer() or b"", "<u4") for x in ids]
-            yield pa.record_batch([batch.column("part"), batch.column("doc_id"), batch.column("at"), pa.array([len(x) for x in views], pa.int64()), pa.array([zlib.crc32(x) for x in views], pa.int64())], names=["part", "doc_id", "at", "n_tokens", "ids_crc32"])
+        for part, got in _documents(batches, folder):
+            sizes = pa.array([len(x) // 4 for x in got], pa.int64())
+            yield pa.record_batch([part.column("part"), part.column("doc_id"), part.column("at"), sizes, pa.array([zlib.crc32(x) for x in got], pa.int64())], names=["part", "doc_id", "at", "n_tokens", "ids_crc32"])
 
-    own = read(index, folder).mapInArrow(task, "part int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    own = index.mapInArrow(task, "part int, doc_id long, at long, n_tokens long, ids_crc32 long")
     return own.join(F.broadcast(starts(index)), "part").select("doc_id", (F.col("before") + F.col("at") / 4).cast("long").alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -7,6 +7,8 @@ distinct word once. Any other text goes through the library whole. Both give the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 
@@ -22,31 +24,23 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class _Memo(dict):
-    """word -> ids as little-endian unsigned 32-bit integers."""
-
-    def __init__(self, encode, lead: str):
-        super().__init__()
-        self.encode, self.lead = encode, lead
-
-    def __missing__(self, word: str) -> bytes:
-        self[word] = out = np.array(self.encode(self.lead + word, add_special_tokens=False).ids, "<u4").tobytes()
-        return out
-
-
 class Encoder:
-    """encode(text) -> ids as bytes. At most `most` words are remembered at once."""
+    """encode_all(texts) -> ids as bytes, little-endian unsigned 32-bit integers. At most `most` words are remembered at once, with the blank or
+    the line feed that leads them; `chunk` characters of text are split at once."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 1_300_000, chunk: int = 1 << 19):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.most = most
-        self.first, self.later = _Memo(self.tok.encode, ""), _Memo(self.tok.encode, " ")
+        self.most, self.chunk = most, chunk
+        self.memo: dict[str, bytes] = {}
+        size = self.tok.get_vocab_size()
+        self.kind = "<u2" if size <= 1 << 16 else "<u4"
         self.feed = self.whole("\n")
-        #: Ids of the tokens that start with a blank.
-        self.leads = np.array([(self.tok.id_to_token(k) or "").startswith("\u0120") for k in range(self.tok.get_vocab_size())])
+        #: Ids of the tokens that start with a blank, and those that are a line feed.
+        names = [self.tok.id_to_token(k) or "" for k in range(size)]
+        self.leads = {" ": np.array([x.startswith("\u0120") for x in names]), "\n": np.array([x == "\u010a" for x in names])}
         self.by_word = self._splits()
 
     def whole(self, text: str) -> bytes:
@@ -54,35 +48,54 @@ class Encoder:
 
     def _splits(self) -> bool:
         """Whether this vocabulary lets texts be encoded word by word, told from a probe."""
-        probe = "Ab c'd, 12.5 x\nYeé (z)\n'll 中 a"
-        parts = [self.whole("Ab"), *map(self.whole, (" c'd,", " 12.5", " x", "\n", "Yeé", " (z)", "\n", "'ll", " 中", " a"))]
-        return b"".join(parts) == self.whole(probe)
-
-    def learn(self, words: set[str]) -> None:
-        """Put words into the memo, many in one call: each starts with the only blank in it, and so at a token that starts with one."""
-        new = [w for w in words if w not in self.later]
+        probe = "Ab c'd, 12.5 x\nYe\u00e9 (z)\n'll \u4e2d a"
+        parts = ["Ab", " c'd,", " 12.5", " x", "\n", "Ye\u00e9", " (z)", "\n", "'ll", " \u4e2d", " a"]
+        return len(self.feed) == 4 and b"".join(map(self.whole, parts)) == self.whole(probe)
+
+    def learn(self, words: set[str], lead: str) -> None:
+        """Put words into the memo, many in one call: each starts with the only `lead` in it, and so at a token that starts with one."""
+        new = list(words)
+        own = [" " + w for w in new] if lead == " " else new
         for k in range(0, len(new), 4000):
             part = new[k : k + 4000]
-            ids = np.array(self.tok.encode(" " + " ".join(part), add_special_tokens=False).ids, "<u4")
-            data, ends = ids.tobytes(), [*(4 * np.flatnonzero(self.leads[ids])).tolist(), 4 * len(ids)]
+            ids = np.array(self.tok.encode("".join(own[k : k + 4000]), add_special_tokens=False).ids)
+            data, size = ids.astype(self.kind).tobytes(), int(self.kind[-1])
+            ends = [*(size * np.flatnonzero(self.leads[lead][ids])).tolist(), size * len(ids)]
             if len(ends) != len(part) + 1:
                 raise ValueError("the vocabulary does not start each word at a token of its own")
-            self.later.update(zip(part, map(data.__getitem__, map(slice, ends, ends[1:])), strict=True))
-
-    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+            self.memo.update(zip(part, map(data.__getitem__, map(slice, ends, ends[1:])), strict=True))
+
+    def _some(self, texts: list[str | None]) -> Iterator[bytes]:
+        if len(self.memo) > self.most:
+            self.memo.clear()
+        # words after a line feed keep it; other words but the first had a blank before them
+        split = [t.replace("\n", " \n").split(" ") if t and self.by_word and _plain(t) else None for t in texts]
+        firsts = [self.whole(x.pop(0)) if x else b"" for x in split]
+        words: set[str] = set()
+        words.update(*filter(None, split))
+        words = words.difference(self.memo)  # goes through words, not through the memo
+        if words:
+            fed = {w for w in words if w[0] == "\n"}
+            self.learn(fed, "\n")
+            self.learn(words - fed, " ")
+        get = self.memo.__getitem__
+        for t, first, x in zip(texts, firsts, split, strict=True):
+            if x is None:
+                yield self.whole(t) if t else b""
+            else:
+                rest = b"".join(map(get, x))
+                yield first + (np.frombuffer(rest, self.kind).astype("<u4").tobytes() if self.kind == "<u2" else rest)
+
+    def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
         """Ids of each text (null: of the empty text), in order."""
-        lines = [[x.split(" ") for x in t.split("\n")] if t and self.by_word and _plain(t) else None for t in texts]
-        if len(self.later) > self.most:
-            self.later.clear()
-        if len(self.first) > self.most:
-            self.first.clear()
-        seen: set[str] = set()
-        for t in lines:
-            for x in t or ():
-                seen.update(x[1:])
-        self.learn(seen)
-        get, first = self.later.__getitem__, self.first
-        return [self.feed.join(first[x[0]] + b"".join(map(get, x[1:])) for x in t) if t else (self.whole(text) if text else b"") for t, text in zip(lines, texts, strict=True)]
+        at = 0
+        while at < len(texts):
+            end, n = at, 0
+            while end < len(texts) and n < self.chunk:
+                n += len(texts[end] or "")
+                end += 1
+            yield from self._some(texts[at:end])
+            at = end
 
 
 _encoders: dict[str, Encoder] = {}
