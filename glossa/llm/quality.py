@@ -9,7 +9,7 @@ A null text has no words, lines or symbols. Words are [^\\x20\\x09-\\x0D]+, leng
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,8 +50,8 @@ def n_upper(text: Column) -> Column:
     return F.coalesce(F.length(F.regexp_replace(text, r"\P{Lu}+", "")), F.lit(0)).cast("long")
 
 
-def n_repeat_words(text: Column, window: int = WINDOW) -> Column:
-    """Words in windows of `window` words that the text holds twice or more, the first included.
+def n_repeat_words(words: Column, window: int = WINDOW) -> Column:
+    """Of an array of words: those in windows of `window` words that the text holds twice or more, the first included.
 
     Hashes tell the texts without repeats, in time proportional to their length. In others the windows themselves are sorted, so that equal
     ones are neighbours, and the words they cover are counted from their places in order.
@@ -70,32 +70,48 @@ def n_repeat_words(text: Column, window: int = WINDOW) -> Column:
         return F.aggregate(let(windows, places), start, lambda a, i: F.struct((a["n"] + F.least(F.lit(window), i - a["last"])).alias("n"), i.alias("last")), lambda a: a["n"])
 
     def count(w: Column) -> Column:
-        hashes = F.transform(F.sequence(F.lit(1), F.size(w) - window + 1), lambda i: F.xxhash64(F.slice(w, i, window)))
+        hashes = F.transform(F.sequence(F.lit(0), F.size(w) - window), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(window))))
         return F.when(F.size(w) <= window, F.lit(0).cast("long")).when(F.size(F.array_distinct(hashes)) == F.size(w) - window + 1, F.lit(0).cast("long")).otherwise(covered(w))
 
-    return F.coalesce(let(words(text), count), F.lit(0).cast("long"))
+    return F.coalesce(let(words, count), F.lit(0).cast("long"))
 
 
-#: name -> whether a text is rejected. Base rules first; none of the others needs more than 30 % more code than a count.
-RULES: dict[str, Callable[[Column], Column]] = {
-    "few_words": lambda t: n_words(t) < 10,
-    "repeated_windows": lambda t: 100 * n_repeat_words(t) > 20 * n_words(t),
-    "symbols": lambda t: 10 * n_symbols(t) > n_words(t),
-    "word_length": lambda t: ~word_chars(t).between(2 * n_words(t), 15 * n_words(t)),
-    "repeated_lines": lambda t: 2 * n_dup_lines(t) > n_lines(t),
-    "capitals": lambda t: 2 * n_upper(t) > word_chars(t),
+#: What rules look at, from a text.
+FEATURES: dict[str, Callable[[Column], Column]] = {
+    "n_words": n_words,
+    "word_chars": word_chars,
+    "n_symbols": n_symbols,
+    "n_lines": n_lines,
+    "n_dup_lines": n_dup_lines,
+    "n_upper": n_upper,
+    "n_repeat_words": lambda t: n_repeat_words(words(t)),
+}
+#: name -> whether a row is rejected, from its features. A rule computes none but those it asks for.
+Rule = Callable[[Callable[[str], Column]], Column]
+RULES: dict[str, Rule] = {
+    "few_words": lambda x: x("n_words") < 10,
+    "repeated_windows": lambda x: 100 * x("n_repeat_words") > 20 * x("n_words"),
+    "symbols": lambda x: 10 * x("n_symbols") > x("n_words"),
+    "word_length": lambda x: ~x("word_chars").between(2 * x("n_words"), 15 * x("n_words")),
+    "repeated_lines": lambda x: 2 * x("n_dup_lines") > x("n_lines"),
+    "capitals": lambda x: 2 * x("n_upper") > x("word_chars"),
 }
 BASE = ("few_words", "repeated_windows")
 
 
-def measure(docs: DataFrame, rules: dict[str, Callable[[Column], Column]] = RULES, text: str = "text", rows: int = SAMPLE_ROWS) -> dict[str, tuple[float, float]]:
+def features(text: Column, known: Collection[str] = ()) -> Callable[[str], Column]:
+    """name -> the feature of a text: the column of that name where it is known, else the expression."""
+    return lambda name: F.col(name) if name in known else FEATURES[name](text)
+
+
+def measure(docs: DataFrame, rules: dict[str, Rule] = RULES, text: str = "text", rows: int = SAMPLE_ROWS) -> dict[str, tuple[float, float]]:
     """rule -> (seconds, share rejected) over a sample of at most `rows` rows."""
     sample = cut(docs.select(F.col(text).cast("string").alias("t")).limit(rows), "quality-sample")
-    out = {}
-    sample.agg(*(F.sum(f(F.col("t")).cast("long")) for f in rules.values())).first()  # compile and read once before timing
+    x, out = features(F.col("t")), {}
+    sample.agg(*(F.sum(f(x).cast("long")) for f in rules.values())).first()  # compile and read once before timing
     for name, f in rules.items():
         began = time.perf_counter()
-        bad, n = sample.agg(F.sum(f(F.col("t")).cast("long")), F.count("*")).first()
+        bad, n = sample.agg(F.sum(f(x).cast("long")), F.count("*")).first()
         out[name] = (time.perf_counter() - began, (bad or 0) / max(n, 1))
     return out
 
@@ -105,29 +121,31 @@ def ordered(stats: dict[str, tuple[float, float]]) -> list[str]:
     return sorted(stats, key=lambda x: (-stats[x][1] / max(stats[x][0], 1e-9), x))
 
 
-def rejected_by(text: Column, order: list[str], rules: dict[str, Callable[[Column], Column]] = RULES) -> Column:
-    """The first rule, in the given order, that rejects the text; null if none does. Later rules are not computed then."""
+def rejected_by(x: Callable[[str], Column], order: list[str], rules: dict[str, Rule] = RULES) -> Column:
+    """The first rule, in the given order, that rejects the row; null if none does. Later rules are not computed then."""
     out = F.lit(None).cast("string")
     for name in reversed(order):
-        out = F.when(rules[name](text), F.lit(name)).otherwise(out)
+        out = F.when(rules[name](x), F.lit(name)).otherwise(out)
     return out
 
 
-def keep(docs: DataFrame, text: str = "text", rules: dict[str, Callable[[Column], Column]] = RULES) -> DataFrame:
+def keep(docs: DataFrame, text: str = "text", rules: dict[str, Rule] = RULES) -> DataFrame:
     """The rows that no rule rejects, all columns as they are. Repeated rows share their verdict; no rows give none."""
     order = ordered(measure(docs, rules, text))
-    return docs.where(rejected_by(F.coalesce(F.col(text).cast("string"), F.lit("")), order, rules).isNull())
+    return docs.where(rejected_by(features(F.coalesce(F.col(text).cast("string"), F.lit(""))), order, rules).isNull())
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     order = [x for x in ordered(measure(docs)) if x not in BASE]
-    t = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    x = docs.select("doc_id", t.alias("t")).withColumn("n_words", n_words(F.col("t"))).withColumn("n_repeat_words", n_repeat_words(F.col("t")))
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    # base counts are asked for in any case; the other rules run only where the base passes
-    kept = F.when(failed, F.lit(False)).otherwise(rejected_by(F.col("t"), order).isNull())
-    return x.select("doc_id", "n_words", word_chars(F.col("t")).alias("word_chars"), n_symbols(F.col("t")).alias("n_symbols"), n_dup_lines(F.col("t")).alias("n_dup_lines"), "n_repeat_words", failed.alias("base_failed"), kept.alias("kept"))
+    t = F.col("t")
+    x = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t")).withColumn("w", words(t))
+    x = x.select("doc_id", "t", F.size("w").cast("long").alias("n_words"), word_chars(t).alias("word_chars"), n_symbols(t).alias("n_symbols"), n_dup_lines(t).alias("n_dup_lines"), n_repeat_words(F.col("w")).alias("n_repeat_words"))
+    known = features(t, x.columns)
+    failed = RULES["few_words"](known) | RULES["repeated_windows"](known)
+    # the base counts are asked for in any case; the other rules run only where the base passes
+    kept = F.when(failed, F.lit(False)).otherwise(rejected_by(known, order).isNull())
+    return x.select(*(c for c in x.columns if c != "t"), failed.alias("base_failed"), kept.alias("kept"))
 
 
 _WORD = r"[^\x20\x09-\x0D]+"
