@@ -7,8 +7,8 @@ the splits.) Every point has a component of the signature drawn at random; a com
 stop at the latest component, so that most shingles cost one point. Two components are equal with the weighted Jaccard similarity as probability.
 
 Documents with a band of components in common are candidates. All of a band's documents are compared with one of them, its hub, by exact multiset
-overlap; where that leaves a band in more than one class, the rest is compared exactly too, hub by hub, so that no link is lost to a cap. Classes are
-connected components. Exact copies are one node from the start.
+overlap; where that leaves a band in more than one class, those outside the hub's class are compared with every other that exact bounds leave in
+reach, so that no link is lost to a cap. Classes are connected components. Exact copies are one node from the start.
 """
 
 from __future__ import annotations
@@ -171,7 +171,7 @@ def _rooted(rows: DataFrame, roots: DataFrame, key: str, name: str) -> DataFrame
 
 
 def classes(docs: DataFrame, similar: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, class_id, n_links: the class of each row (its smallest doc_id), and how many other texts its text was found linked to.
+    """doc_id, class_id: the class of each row, named by its smallest doc_id.
 
     docs: doc_id, text; other columns are ignored. Rows of equal text are one class. Texts without words (null ones too) are linked to nothing: each
     such row is its own class. Texts of one to four words have one shingle, all their words. Rows with a null doc_id keep it, and do not name a class
@@ -182,8 +182,13 @@ def classes(docs: DataFrame, similar: float = SIMILARITY, shingle: int = SHINGLE
     nodes = signed.where("bands is not null")
     # one row for each distinct text: tasks leave one each, so this is small work
     flat = nodes.select("key", "n", F.explode("bands").alias("band")).distinct()
-    hubs = flat.groupBy("band").agg(F.min("key").alias("hub"), F.count("*").alias("many")).where("many > 1")
-    shared = cut(flat.join(hubs.select("band", "hub"), "band"), "bands")
+    several = flat.groupBy("band").agg(F.count("*").alias("many")).where("many > 1")
+    met = cut(flat.join(several, "band"), "bands")
+    # a band's hub is its most central member, the one that meets the most others over all bands: the original rather than a copy of it
+    central = met.groupBy("key").agg(F.sum("many").alias("meets"))
+    met = met.drop("many").join(central, "key")
+    hubs = met.groupBy("band").agg(F.max(F.struct("meets", "key")).alias("x")).select("band", F.col("x.key").alias("hub"))
+    shared = cut(met.drop("meets").join(hubs, "band"), "bands")
     pairs = cut(shared.where("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
     needed = shared.select("key").distinct()
     # texts of the nodes that share a band, one row each: of a node's rows the one of its smallest doc_id
@@ -194,22 +199,20 @@ def classes(docs: DataFrame, similar: float = SIMILARITY, shingle: int = SHINGLE
     checked = cut(verify(pairs, texts, shingle), "checked")
     links = checked.where(F.col("similarity") >= similar).select("a", "b")
     roots = components(links)
-    # bands that still hold several classes: their members against every further hub
+    # bands that still hold several classes: members outside the hub's class against all others that they can still be linked to
     held = _rooted(shared, roots, "key", "root")
     open_bands = held.groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("band")
     left = cut(held.join(open_bands, "band"), "open-bands")
     if left.head(1):
-        more = _further(left, checked, similar)
-        links = links.unionByName(cut(verify(more, texts, shingle), "checked").where(F.col("similarity") >= similar).select("a", "b"))
+        links = links.unionByName(_further(left, roots, texts, similar, shingle))
         roots = components(links)
-    degree = links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("key")).agg(F.count("*").alias("links"))
     member = _rooted(signed.select("doc_id", "key", "n"), cut(roots, "roots"), "key", "root")
     # the smallest doc_id of a class, at one row for each distinct text before the classes meet
     name = member.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.max("n").alias("words"))
-    out = member.join(name, "root").join(degree, "key", "left")
+    out = member.join(name, "root")
     # a copy without bands of its own (its task met the text before) has n = 0 as well; words tells it from a text without words
     own = F.when(F.col("words") > 0, F.col("class_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", own.alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select("doc_id", own.alias("class_id"))
 
 
 def _first_of_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,16 +226,100 @@ def _first_of_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield batch.take(pa.array(keep, pa.int64()))
 
 
-def _further(left: DataFrame, checked: DataFrame, similar: float) -> DataFrame:
-    """Pairs of one open band and different classes that can still be linked: by their numbers of shingles, and by the triangle inequality of the
-    distance 1 - similarity over their band's hub, to which both distances are known. What these leave out is proven too far apart."""
-    far = checked.select(F.col("a").alias("hub"), F.col("b").alias("key"), (1 - F.col("similarity")).alias("d"))
-    x = left.join(far, ["hub", "key"], "left").withColumn("d", F.when(F.col("key") == F.col("hub"), F.lit(0.0)).otherwise(F.col("d"))).where("key <> hub")
-    x = x.select("band", "key", "n", "root", "d")
-    y = x.select("band", *(F.col(c).alias(f"{c}2") for c in ("key", "n", "root", "d")))
-    slack = F.lit(1 - similar + 1e-9)
-    near = (F.col("key") < F.col("key2")) & (F.col("root") != F.col("root2")) & (F.least("n", "n2") >= similar * F.greatest("n", "n2") - 1e-9) & (F.abs(F.col("d") - F.col("d2")) <= slack)
-    return cut(x.join(y, "band").where(near).select(F.col("key").alias("a"), F.col("key2").alias("b")).distinct(), "further-pairs")
+def _spread(parts: int, shingle: int):
+    """(part, keys, sizes, data): the distinct shingles of a batch's texts, dealt by hash; data holds pairs (hash, count)."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, texts = batch.column("key"), batch.column("text").to_pylist()
+            doc, h, count = multisets(texts, shingle)
+            where = (h % U(parts)).astype(np.int64)
+            rows = []
+            for p in range(parts):
+                own = where == p
+                if own.any():
+                    docs, sizes = np.unique(doc[own], return_counts=True)
+                    rows.append((p, [keys[int(i)].as_py() for i in docs], sizes.tolist(), np.stack([h[own], count[own].astype(U)]).tobytes()))
+            cols = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary()), strict=True)], names=["part", "keys", "sizes", "data"])
+
+    return task
+
+
+def _alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, own): of the shingles of these parts, how many (counted) no other text holds. One row for each text and task."""
+    keys: list[bytes] = []
+    parts = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            data = np.frombuffer(row["data"], U).reshape(2, -1)
+            parts.append((data[0], data[1], np.repeat(np.arange(len(keys), len(keys) + len(row["keys"])), row["sizes"])))
+            keys += row["keys"]
+    if parts:
+        h, count, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
+        _, place, many = np.unique(h, return_inverse=True, return_counts=True)
+        single = many[place] == 1
+        own = np.bincount(doc[single], count[single].astype(float), len(keys)).astype(np.int64)
+        yield pa.record_batch([pa.array(keys, pa.binary()), pa.array(own, pa.int64())], names=["key", "own"])
+
+
+#: Shingles counted in one task by _alone.
+TASK_SHINGLES = 2_000_000
+
+
+def _elements(text: bytes, shingle: int) -> np.ndarray:
+    """A multiset as a set: one hash for each shingle and number of its occurrence, sorted."""
+    _, h, count = multisets([text], shingle)
+    number = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    return np.unique(mix(np.repeat(h, count) + number.astype(U) * GOLDEN))
+
+
+def _differences(shingle: int):
+    """(a, b, delta): the elements that one of the texts a and b has and the other lacks."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, np.zeros(0, U)
+        for batch in batches:
+            out = []
+            for a, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("a", "text_a", "text_b")), strict=True):
+                if a != key:
+                    key, held = a, _elements(ta, shingle)
+                out.append(np.setxor1d(held, _elements(tb, shingle), assume_unique=True).view(np.int64))
+            yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(out, pa.list_(pa.int64()))], names=["hub", "key", "delta"])
+
+    return task
+
+
+def _further(left: DataFrame, roots: DataFrame, texts: DataFrame, similar: float, shingle: int) -> DataFrame:
+    """Links (a, b) between different classes of one open band. What is not compared is proven too far apart:
+
+    A text shares at most s = n - own of its n shingles with any other of the open bands, where own counts those that no other holds, and two
+    texts share at most the smaller s. Texts that no other of their band can reach go first. The rest is compared hub by hub, those outside the hub's
+    class with all others, by their differences from the hub alone: where x and y differ from the hub by the sets X and Y, they differ from each
+    other by the elements that are in one of X and Y only. Only links leave the join.
+    """
+    members = left.groupBy("key").agg(F.first("n").alias("n"))
+    total = members.agg(F.sum("n")).first()[0] or 0
+    parts = max(1, -(-int(total) // TASK_SHINGLES))
+    blocks = texts.join(members.select("key"), "key", "left_semi").mapInArrow(_spread(parts, shingle), "part int, keys array<binary>, sizes array<long>, data binary")
+    own = blocks.repartition(parts, "part").mapInArrow(_alone, "key binary, own long").groupBy("key").agg(F.sum("own").alias("own"))
+    x = left.join(own, "key").withColumn("s", F.col("n") - F.col("own"))
+    least = x.groupBy("band").agg(F.min("n").alias("least"))
+    e = 1e-9
+    live = x.join(least, "band").where(F.col("s") >= similar * (F.col("n") + F.greatest("least", "s") - F.col("s")) - e)
+    live = cut(live.select("hub", "key", "n", "s", "root").distinct(), "live")
+    pairs = live.select(F.col("hub").alias("a"), F.col("key").alias("b"))
+    both = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
+    delta = both.select("a", "b", "text_a", "text_b").mapInArrow(_differences(shingle), "hub binary, key binary, delta array<long>")
+    live = cut(_rooted(live.join(delta, ["hub", "key"]), roots, "hub", "main"), "live")
+    y = live.select("hub", *(F.col(c).alias(f"{c}2") for c in ("key", "n", "s", "root", "delta")))
+    shared = F.least("s", "s2")
+    reach = (shared >= similar * (F.col("n") + F.col("n2") - shared) - e) & (F.least("n", "n2") >= similar * F.greatest("n", "n2") - e)
+    # by whole numbers: with difference d, shared = (n + n2 - d) / 2 and the union is (n + n2 + d) / 2
+    differ = F.size("delta") + F.size("delta2") - 2 * F.size(F.array_intersect("delta", "delta2"))
+    linked = F.col("n") + F.col("n2") - differ >= similar * (F.col("n") + F.col("n2") + differ)
+    found = live.where("root <> main").join(y, "hub").where((F.col("root") != F.col("root2")) & reach & linked)
+    return cut(found.select(F.col("key").alias("a"), F.col("key2").alias("b")).distinct(), "further-links")
 
 
 def representatives(docs: DataFrame, **settings) -> DataFrame:

@@ -72,7 +72,8 @@ def schedule(plan: DataFrame, block: int = BLOCK) -> DataFrame:
     parts = parts.repartition("sid", "_part")
     low = F.col("_from") + F.col("_part") * step
     points = parts.withColumn("_point", F.explode(F.sequence(low, F.least(low + step, F.col("_from") + F.col("_slots")) - 1)))
-    slots = points.withColumn("slot", _reversed_bits(F.col("_point"), bits))
+    # written, so that its size is known before any join: unfolded rows count as one in estimates
+    slots = cut(points.select("sid", "_blocks", "_first", "_second", _reversed_bits(F.col("_point"), bits).alias("slot")), "mix-slots")
     # ranks in two levels: over stretches of the schedule, then within each
     slots = slots.withColumn("_stretch", F.shiftright("slot", max(0, bits - max(0, (n // BUCKET_ROWS).bit_length()))))
     counts = slots.groupBy("sid", "_stretch").agg(F.count("*").alias("_n"))
