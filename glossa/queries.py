@@ -1,4 +1,272 @@
 """Registered queries of the library's own operators, and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions.text import normalise, pack_relation, unpack_relation
+from .operators import index, kb, match, resolve, search
+from .plans import query as query_language
+from .plans.rules import Memory, compile_rule
+from .shared import folder
+from .sources import rdfxml, turtle
+from .sources.config import Traits
+from .sources.markup import element_text, node_text
+from .streaming.put import put
+
+NS = "http://kb.test/"
+#: Labels of the test knowledge base: frequent words of four languages.
+WORDS = {
+    "en": ["the", "of", "and", "to", "a", "in", "of the", "in the"],
+    "de": ["der", "die", "und", "den", "von", "in"],
+    "fr": ["de", "la", "en", "que", "de la"],
+    "es": ["de", "la", "en", "que", "de la"],
+}
+FAMILY = {"en": "germanic", "de": "germanic", "fr": "romance", "es": "romance"}
+TRAITS = Traits(**{k: frozenset({NS + v}) for k, v in {"transitive": "broader", "symmetric": "see-also", "inverted": "part-of", "distinct": "label", "name": "name", "ignore": "note", "rule": "rule"}.items()})
+
+
+def _url(lang: str, word: str) -> str:
+    return f"{NS}word/{lang}/{word.replace(' ', '_')}"
+
+
+def _triples() -> list[tuple[str, str, str]]:
+    out = []
+    for lang, words in WORDS.items():
+        for w in words:
+            out += [(_url(lang, w), NS + "lang-of", f"{NS}lang/{lang}"), (_url(lang, w), NS + "label", w)]
+        out += [(f"{NS}lang/{lang}", NS + "broader", f"{NS}family/{FAMILY[lang]}"), (f"{NS}lang/{lang}", NS + "name", lang.upper()), (f"{NS}lang/{lang}", NS + "note", "ignored")]
+    for f in ("germanic", "romance"):
+        out += [(f"{NS}family/{f}", NS + "broader", NS + "top"), (f"{NS}family/{f}", NS + "part-of", NS + "tree")]
+    return [*out, (NS + "lang/en", NS + "see-also", NS + "lang/de"), (NS + "lang/en", NS + "rule", f'c("{NS}lang/en") > 0')]
+
+
+TRIPLES = _triples()
+
+
+def _values(rows: list[tuple]) -> str:
+    lit = lambda v: "NULL" if v is None else str(v) if isinstance(v, int | float) else "'" + v.replace("'", "''") + "'"
+    return "VALUES " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows)
+
+
+_T = f"t(s, p, o) AS ({_values(TRIPLES)})"
+_DICT = f"""lab AS (SELECT o AS label, s AS url FROM t WHERE p = '{NS}label'),
+amb AS (SELECT label, list(url ORDER BY url) AS urls FROM lab GROUP BY label HAVING count(*) > 1)"""
+_COMBINED = "urls[1] || list_reduce(list_transform(urls[2:], lambda u: '-' || regexp_extract(u, '[^/]*$')), lambda x, y: x || y)"
+
+
+def _frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")]), schema)
+
+
+def triples(spark: SparkSession) -> DataFrame:
+    return _frame(spark, [(*t, k) for k, t in enumerate(TRIPLES)], "s string, p string, o string, ord long")
+
+
+def word_kb(spark: SparkSession, how: str | float = "split") -> kb.Kb:
+    return kb.build(triples(spark), TRAITS, how)
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), "text")
+
+
+def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.match(documents(spark, sf_dir), word_kb(spark).dictionary)
+
+
+def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.postings(spans(spark, sf_dir), word_kb(spark))
+
+
+def asked(text: str):
+    return lambda spark, d: query_language.parse(text).run(entries(spark, d))
+
+
+def hierarchy(spark: SparkSession, d: str) -> DataFrame:
+    """customer and supplier to nation, nation to region, region to the world, and back from one region: a cycle."""
+    read = lambda t: spark.read.parquet(f"{d}/{t}.parquet")
+    e = lambda t, a, b, x, y: read(t).select(F.concat(F.lit(a), F.col(x).cast("string")).alias("s"), F.lit("up").alias("p"), F.concat(F.lit(b), F.col(y).cast("string")).alias("o"))
+    world = read("region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("s"), F.lit("up").alias("p"), F.lit("world").alias("o"))
+    return e("supplier", "s", "n", "s_suppkey", "s_nationkey").unionByName(e("nation", "n", "r", "n_nationkey", "n_regionkey")).unionByName(world)
+
+
+_H = """h AS (SELECT 's' || s_suppkey AS s, 'n' || s_nationkey AS o FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation
+UNION ALL SELECT 'r' || r_regionkey, 'world' FROM region)"""
+CYCLE = [("a", "up", "b"), ("b", "up", "c"), ("c", "up", "a"), ("c", "up", "d")]
+_NATION = "e AS (SELECT 'n' || n_nationkey AS s, 'in' AS p, 'r' || n_regionkey AS o FROM nation)"
+
+
+def _nations(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/nation.parquet").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("s"), F.lit("in").alias("p"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("o"))
+
+
+BRACES = ["a{,b}c", "a{b{c,d},e}{f,g}", "a{b,c},", "plain"]
+RULES = ["len() = 3", "n() = 5", 'c("a") = 2', 'cs("c") = 0', 'es() = {"a","b"}', 'max(c({"a","b"})) = 2', '{"a","b","c"}', "2 + 3 * 2 = 8", "-true", "min()", "max()", "1 / 0", 'len("abc") + len({"a"} + {"b"})', 'c({"a","b"}) * c({"a"})']
+RULE_VALUES = [1, 1, 1, 1, 1, 1, 3, 1, 0, -9e99, 9e99, 9e99, 5, 1]
+TURTLE = '@prefix x: <http://x/> . x:A a x:B ; x:p "l1" , "l2" . @base <http://base/> . C x:q <http://y/D> .'
+TURTLE_ROWS = [("http://x/A", turtle.RDF_TYPE, "http://x/B"), ("http://x/A", "http://x/p", "l1"), ("http://x/A", "http://x/p", "l2"), ("http://base/C", "http://x/q", "http://y/D")]
+RDFXML = """<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:skos="http://skos/"><rdf:Other/><skos:Concept rdf:about="http://c/1"><skos:prefLabel>one</skos:prefLabel>
+<skos:altLabel>uno</skos:altLabel><skos:broader rdf:resource="http://c/2"/></skos:Concept></rdf:RDF>"""
+RDFXML_ROWS = [("http://c/1", "http://skos/prefLabel", "one"), ("http://c/1", "http://skos/altLabel", "uno"), ("http://c/1", "http://skos/broader", "http://c/2")]
+
+
+def rule_values(spark: SparkSession, d: str) -> DataFrame:
+    m = Memory(5, [("a", ()), ("b", ()), ("a", ())])
+    finite = lambda v: max(-9e99, min(9e99, v))
+    return _frame(spark, [(r, finite(compile_rule(r)(m))) for r in RULES], "rule string, value double")
+
+
+def _text(kind):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        def task(batches):
+            for b in batches:
+                yield pd.DataFrame({"page_id": b["page_id"], "text": [kind(x) for x in b["html"]]})
+
+        return spark.read.parquet(f"{d}/pages.parquet").select("page_id", "html").mapInPandas(task, "page_id long, text string")
+
+    return run
+
+
+def _resolved(make):
+    """Spans of conversations in order of their turns; ambiguous labels have several candidates."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        docs = spark.read.parquet(f"{d}/conversations.parquet").select(F.format_string("%d/%06d", "conv_id", "turn").alias("path"), "text")
+        k = word_kb(spark)
+        urls = k.dictionary.join(k.edge.where(F.col("p") == kb.SPLIT), F.col("url") == F.col("s"), "left").groupBy("label").agg(F.array_sort(F.collect_set(F.coalesce("o", "url"))).alias("urls"))
+        x = match.match(docs, k.dictionary).join(urls, "label")
+        x = x.select(F.substring_index("path", "/", 1).alias("path"), (F.substring_index("path", "/", -1).cast("long") * 1_000_000 + F.col("begin")).alias("begin"), "urls")
+        near = {s: tuple(sorted({o for a, p, o in TRIPLES if a == s and p == NS + "lang-of"})) for s, p, o in TRIPLES if p == NS + "lang-of"}
+        return resolve.resolve(x, lambda: make(near), 10, near)
+
+    return run
+
+
+def stream_put(spark: SparkSession, d: str) -> DataFrame:
+    """The postings of all documents, put through a stream of files, read back from the index."""
+    base = folder(spark, "put")
+    static = spark.read.parquet(f"{d}/documents.parquet")
+    source = spark.readStream.schema(static.schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/documents.parque[t]")
+    docs = source.select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), "text")
+    put(docs, word_kb(spark), f"{base}/index", f"{base}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{base}/index").select(index.ENTRY)
+
+
+_SPANS = f"""w0 AS (SELECT 'doc/' || doc_id AS path, unnest(string_split(trim(regexp_replace(coalesce(text, ''), '[\\s\\pP\\pS\\pZ]+', ' ', 'g')), ' ')) AS w, generate_subscripts(string_split(trim(regexp_replace(coalesce(text, ''), '[\\s\\pP\\pS\\pZ]+', ' ', 'g')), ' '), 1) AS i FROM documents),
+w1 AS (SELECT path, i, w, lead(w) OVER p AS nx, lag(w) OVER p AS pv, 1 + coalesce(sum(strlen(w) + 1) OVER (PARTITION BY path ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM w0 WINDOW p AS (PARTITION BY path ORDER BY i)),
+w2 AS (SELECT *, w || ' ' || nx IN ('of the', 'in the', 'de la') AS two, pv || ' ' || w IN ('of the', 'in the', 'de la') AS second FROM w1),
+sp AS (SELECT path, b::BIGINT AS "begin", (b + strlen(tok))::BIGINT AS "end", tok AS token FROM (SELECT path, b, CASE WHEN two THEN w || ' ' || nx ELSE w END AS tok FROM w2 WHERE NOT coalesce(second, false))
+  WHERE tok IN (SELECT label FROM lab))"""
+_ENTRIES = f"""{_T}, {_DICT}, {_SPANS},
+d AS (SELECT l.url AS concept_url, path, token, "begin", "end", CASE WHEN a.label IS NULL THEN 0 ELSE -1 END::BIGINT AS l FROM sp JOIN lab l ON l.label = token LEFT JOIN amb a ON a.label = token),
+en AS (SELECT concept_url, path, '' AS relation_url, token, "begin", "end", l, false AS ambiguous FROM d
+  UNION ALL SELECT t.o, path, t.p, token, "begin", "end", l, false FROM d JOIN t ON t.s = concept_url AND t.p = '{NS}lang-of')"""
+_ALL = 'concept_url, path, relation_url, token, "begin", "end", l, ambiguous'
+
+
+def _sql(where: str, columns: str = _ALL) -> str:
+    return f"WITH {_ENTRIES} SELECT {columns} FROM en WHERE {where}"
+
+
+THE, EN, FR = f"{NS}word/en/the", f"{NS}lang/en", f"{NS}lang/fr"
+_EDGES = f"""e0(s, p, o) AS (SELECT s, p, o FROM t WHERE p NOT IN ('{NS}label', '{NS}name', '{NS}note', '{NS}rule')),
+e AS (SELECT * FROM e0 UNION SELECT o, p, s FROM e0 WHERE p IN ('{NS}see-also', '{NS}part-of') UNION
+  SELECT a.s, a.p, b.o FROM e0 a JOIN e0 b ON a.o = b.s AND a.p = b.p WHERE a.p = '{NS}broader')"""
+
+QUERIES = {
+    "normalize_documents": lambda s, d: documents(s, d).select("path", normalise(F.col("text")).alias("norm")),
+    "kb_classify": lambda s, d: kb.classify(triples(s), TRAITS).select("s", "p", "o", "kind"),
+    "kb_edges": lambda s, d: word_kb(s, "discard").edge.select("s", "p", "o"),
+    "kb_names": lambda s, d: word_kb(s).concept.where("name is not null").select("url", "name"),
+    "kb_dictionary": lambda s, d: word_kb(s).dictionary.select("label", "url"),
+    "closure_inverse": lambda s, d: kb.inverse(_nations(s, d)),
+    "closure_symmetric": lambda s, d: kb.symmetric_closure(_nations(s, d)),
+    "closure_transitive": lambda s, d: kb.transitive_closure(hierarchy(s, d)),
+    "closure_transitive_cycle": lambda s, d: kb.transitive_closure(_frame(s, CYCLE, "s string, p string, o string")),
+    "reachability": lambda s, d: kb.reach(hierarchy(s, d), _frame(s, [("s1",), ("n3",)], "url string")),
+    "transitive_reduction": lambda s, d: kb.reduce_transitive(kb.transitive_closure(hierarchy(s, d))),
+    "ambig_split": lambda s, d: kb.split(kb.collisions(kb.labels(kb.classify(triples(s), TRAITS))))[1].select("s", "o"),
+    "ambig_merge": lambda s, d: kb.merge(kb.collisions(kb.labels(kb.classify(triples(s), TRAITS))), word_kb(s, "discard").edge)[0],
+    "ambig_threshold": lambda s, d: kb.overlap(kb.collisions(kb.labels(kb.classify(triples(s), TRAITS))), word_kb(s, "discard").edge).select("label", F.col("fewest").cast("long").alias("fewest"), F.col("common").cast("long").alias("common")),
+    "ambig_discard": lambda s, d: word_kb(s, "discard").dictionary.select("label", "url"),
+    "brace_expand": lambda s, d: _frame(s, [(b,) for b in BRACES], "label string").select("label", F.explode(kb.expanded("label")).alias("expanded")),
+    "match_exact": lambda s, d: spans(s, d).select("path", "begin", "end", "token"),
+    "match_tokens_with_gaps": lambda s, d: match.match(documents(s, d), word_kb(s).dictionary, gaps=True).groupBy("path").agg(F.count("*").alias("n_tokens"), F.sum(F.octet_length("token")).cast("long").alias("n_bytes")),
+    "match_fuzzy_chain": lambda s, d: match.match(s.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").cast("string").alias("path"), "text"), word_kb(s).dictionary, (1,)).select("path", "begin", "end", "token", "label", "l"),
+    "index_postings": entries,
+    "query_direct": asked(f'?("{THE}")'),
+    "query_relation": asked(f'?("{NS}lang-of"("{EN}"))'),
+    "query_not_relation": asked(f'?(!"{NS}lang-of"("{EN}","{THE}"))'),
+    "query_all": asked(f'?(*("{EN}","{THE}"))'),
+    "query_ambiguous": lambda s, d: query_language.parse(f'?*(*("{FR}"))').run(index.postings(spans(s, d), word_kb(s), mark_ambiguous=True)),
+    "query_page": lambda s, d: query_language.page(asked(f'?(*("{EN}"))')(s, d), 20, 50),
+    "search_concepts": lambda s, d: search.concepts(word_kb(s), "lang"),
+    "search_predicates": lambda s, d: search.predicates(word_kb(s), "lang-"),
+    "search_parents": lambda s, d: search.parents(word_kb(s), f"{NS}top"),
+    "concept_info": lambda s, d: search.info(word_kb(s, "discard"), THE),
+    "context_kwic": lambda s, d: search.context(spans(s, d), documents(s, d), 12).select("path", "begin", "token", F.octet_length(F.encode("before", "UTF-8")).cast("long").alias("n_before")).where("token = 'the'").select("path", "begin", "token"),
+    "resolve_simple": _resolved(resolve.simple),
+    "resolve_thematic": _resolved(resolve.thematic),
+    "resolve_ruled": _resolved(lambda near: resolve.ruled({u: f'cs("{t[0]}") > 2' for u, t in near.items()})),
+    "rule_values": rule_values,
+    "turtle_triples": lambda s, d: _frame(s, list(turtle.parse(TURTLE)), "s string, p string, o string"),
+    "rdfxml_triples": lambda s, d: _frame(s, list(rdfxml.parse(RDFXML)), "s string, p string, o string"),
+    "html_text": _text(element_text),
+    "markup_text": _text(node_text),
+    "dot_lines": lambda s, d: kb.dot_lines(_frame(s, [(f"r/{k}", None) for k in range(5)], "url string, name string"), _nations(s, d)),
+    "pack_relation_id": lambda s, d: s.range(0, 1 << 24, 99991).select(F.col("id").cast("int").alias("rid"), (F.col("id") % 64).cast("int").alias("l")).select(pack_relation(F.col("rid"), F.col("l"), F.lit(True), F.lit(False)).alias("packed")).select("packed", *unpack_relation(F.col("packed"))),
+    "stream_put": stream_put,
+    **{f"profile_{p}": (lambda p: lambda s, d: index.profile(entries(s, d), p))(p) for p in index.PROFILES},
+}
+
+_GROWN = "WITH RECURSIVE {h}, c(s, o) AS (SELECT s, o FROM h UNION SELECT c.s, h.o FROM c JOIN h ON c.o = h.s) "
+ORACLE_SQL = {
+    "normalize_documents": "SELECT 'doc/' || doc_id AS path, ' ' || trim(regexp_replace(coalesce(text, ''), '[\\s\\pP\\pS\\pZ]+', ' ', 'g')) || ' ' AS norm FROM documents",
+    "kb_classify": f"WITH {_T} SELECT s, p, o, CASE regexp_extract(p, '[^/]*$') WHEN 'label' THEN 'label' WHEN 'name' THEN 'name' WHEN 'rule' THEN 'rule' ELSE 'plain' END AS kind FROM t WHERE p <> '{NS}note'",
+    "kb_edges": f"WITH {_T}, {_EDGES} SELECT s, p, o FROM e",
+    "kb_names": f"WITH {_T} SELECT s AS url, o AS name FROM t WHERE p = '{NS}name'",
+    "kb_dictionary": f"WITH {_T}, {_DICT} SELECT label, url FROM lab WHERE label NOT IN (SELECT label FROM amb) UNION ALL SELECT label, {_COMBINED} FROM amb",
+    "closure_inverse": f"WITH {_NATION} SELECT o AS s, p, s AS o FROM e",
+    "closure_symmetric": f"WITH {_NATION} SELECT s, p, o FROM e UNION SELECT o, p, s FROM e",
+    "closure_transitive": _GROWN.format(h=_H) + "SELECT s, 'up' AS p, o FROM c",
+    "closure_transitive_cycle": _GROWN.format(h=f"h AS (SELECT s, o FROM ({_values(CYCLE)}) v(s, p, o))") + "SELECT s, 'up' AS p, o FROM c",
+    "reachability": _GROWN.format(h=_H) + "SELECT DISTINCT o AS url FROM c WHERE s IN ('s1', 'n3') UNION SELECT 's1' UNION SELECT 'n3'",
+    "transitive_reduction": f"WITH {_H} SELECT s, 'up' AS p, o FROM h",
+    "ambig_split": f"WITH {_T}, {_DICT} SELECT {_COMBINED} AS s, unnest(urls) AS o FROM amb",
+    "ambig_merge": f"WITH {_T}, {_DICT} SELECT label, {_COMBINED} AS url FROM amb",
+    "ambig_threshold": f"WITH {_T}, {_DICT} SELECT label, 1::BIGINT AS fewest, 0::BIGINT AS common FROM amb",
+    "ambig_discard": f"WITH {_T}, {_DICT} SELECT label, url FROM lab WHERE label NOT IN (SELECT label FROM amb)",
+    "brace_expand": _values([(b, x) for b in BRACES for x in {"a{,b}c": ["ac", "abc"], "a{b{c,d},e}{f,g}": ["abcf", "abcg", "abdf", "abdg", "aef", "aeg"], "a{b,c},": ["ab,", "ac,"], "plain": ["plain"]}[b]]).join(("SELECT label, expanded FROM (", ") v(label, expanded)")),
+    "match_exact": f'WITH {_T}, {_DICT}, {_SPANS} SELECT path, "begin", "end", token FROM sp',
+    "match_tokens_with_gaps": f"""WITH {_T}, {_DICT}, {_SPANS},
+        n AS (SELECT 'doc/' || doc_id AS path, strlen(' ' || trim(regexp_replace(coalesce(text, ''), '[\\s\\pP\\pS\\pZ]+', ' ', 'g')) || ' ') AS size FROM documents),
+        g AS (SELECT path, "begin" - coalesce(lag("end") OVER (PARTITION BY path ORDER BY "begin"), 0) AS gap FROM sp), m AS (SELECT path, max("end") AS last, count(*) AS k FROM sp GROUP BY path)
+        SELECT n.path, (coalesce(k, 0) + 1 + coalesce((SELECT count(*) FROM g WHERE g.path = n.path AND gap > 0), 0))::BIGINT AS n_tokens, size::BIGINT AS n_bytes FROM n LEFT JOIN m ON m.path = n.path""",
+    "index_postings": _sql("true"),
+    "query_direct": _sql(f"concept_url = '{THE}' AND l <= 0 AND relation_url = ''"),
+    "query_relation": _sql(f"concept_url = '{EN}' AND l <= 0"),
+    "query_not_relation": _sql(f"concept_url IN ('{EN}', '{THE}') AND l <= 0 AND relation_url <> '{NS}lang-of'"),
+    "query_all": _sql(f"concept_url IN ('{EN}', '{THE}') AND l <= 0"),
+    "query_ambiguous": _sql(f"concept_url = '{FR}' AND l <> 0 AND l <= 0", _ALL.replace("ambiguous", "true AS ambiguous")),
+    "query_page": _sql(f"concept_url = '{EN}' AND l <= 0") + ' ORDER BY path, "begin", "end", concept_url, relation_url, l LIMIT 50 OFFSET 20',
+    "search_concepts": f"WITH {_T}, {_EDGES} SELECT DISTINCT url, 3::BIGINT AS how FROM (SELECT s AS url FROM e UNION SELECT o FROM e) WHERE contains(url, 'lang')",
+    "search_predicates": f"WITH {_T} SELECT DISTINCT s AS url FROM t WHERE contains(p, 'lang-')",
+    "search_parents": f"WITH {_T}, {_EDGES} SELECT DISTINCT s AS url FROM e WHERE o = '{NS}top'",
+    "concept_info": f"WITH {_T} SELECT CASE WHEN p = '{NS}label' THEN '' ELSE p END AS p, o FROM t WHERE s = '{THE}'",
+    "context_kwic": f"WITH {_T}, {_DICT}, {_SPANS} SELECT path, \"begin\", token FROM sp WHERE token = 'the'",
+    "rule_values": f"SELECT rule, value::DOUBLE AS value FROM ({_values(list(zip(RULES, RULE_VALUES, strict=True)))}) v(rule, value)",
+    "turtle_triples": f"SELECT * FROM ({_values(TURTLE_ROWS)}) v(s, p, o)",
+    "rdfxml_triples": f"SELECT * FROM ({_values(RDFXML_ROWS)}) v(s, p, o)",
+    "dot_lines": "SELECT '\"r/' || i || '\" [label=\"' || i || '\"]' AS line FROM range(5) r(i) UNION ALL SELECT '\"n' || n_nationkey || '\" -> \"r' || n_regionkey || '\" [label=\"in\"]' FROM nation",
+    "pack_relation_id": "SELECT (CASE WHEN v >= 2147483648 THEN v - 4294967296 ELSE v END)::INT AS packed, rid::INT AS rid, (rid % 64)::INT AS l, true AS ambiguous, false AS flag FROM (SELECT rid, rid * 256 + (rid % 64) * 4 + 2 AS v FROM range(0, 16777216, 99991) r(rid))",
+    "stream_put": _sql("true"),
+    **{f"profile_{p}": _sql("true", ", ".join((f"CASE WHEN relation_url <> '' THEN '{index.INDIRECT}' ELSE '' END AS relation_url" if c == "relation_url" and p in index.COLLAPSED else f'"{c}"') for c in index.ENTRY if c not in gone)) for p, gone in index.PROFILES.items()},
+}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings of English and of the word "the", by any relation."""
+    return QUERIES["query_all"](spark, sf_dir)
