@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
+from .tokens import forget
 from .hashing import GOLDEN, M1, U, mix, multisets, times
 
 SIMILARITY, SHINGLE = 0.8, 5
@@ -71,6 +72,7 @@ def _signed(bands: int, rows: int, shingle: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
+        forget()
         seen: set[bytes] = set()
         for batch in batches:
             ids, texts = batch.column("doc_id"), [t or b"" for t in batch.column("text").to_pylist()]

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .tokens import default_path, encoder
+from .tokens import default_path, encoder, forget
 from .token_files import END
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -46,6 +46,7 @@ def pieces(docs: DataFrame, most: int = 2048, tokenizer: str | None = None) -> D
                     at = end
             cols = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        forget()  # the worker may go on to other stages of a pipeline
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(task, PIECE)
 

@@ -28,7 +28,7 @@ class Encoder:
     """encode_all(texts) -> ids as bytes, little-endian unsigned 32-bit integers. At most `most` words are remembered at once, with the blank or
     the line feed that leads them; `chunk` characters of text are split at once."""
 
-    def __init__(self, path: str, most: int = 1_300_000, chunk: int = 1 << 19):
+    def __init__(self, path: str, most: int = 1_200_000, chunk: int = 1 << 20):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -101,6 +101,11 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
+def forget() -> None:
+    """Let go of what encoders hold: Python workers go on to tasks of other kinds."""
+    _encoders.clear()
+
+
 def encoder(path: str) -> Encoder:
     """One encoder for each vocabulary and Python process."""
     if path not in _encoders:
