@@ -102,15 +102,16 @@ def best_fit(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np
 
 def _pack(most: int, tier: int, keep_all: bool):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        held = [x for x in batches if x.num_rows]
+        if not held:
             return
+        table = pa.Table.from_batches(held)
         table = table.select(["doc_id", "piece", "start", "length", "ids_crc32"]).sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
         lengths = table["length"].to_numpy()
-        seq, off, held = best_fit(lengths, most)
+        seq, off, size = best_fit(lengths, most)
         # at its bound and with no room worth sharing: nothing to gain from an exchange
-        certified = len(held) == lower_bound(lengths, most) and int(len(held) * most - held.sum()) < most // 64
-        full = (held == most) | certified | keep_all
+        certified = len(size) == lower_bound(lengths, most) and int(len(size) * most - size.sum()) < most // 64
+        full = (size == most) | certified | keep_all
         base = (tier << 58) | (TaskContext.get().partitionId() << 34)
         for x in table.append_column("sequence_id", pa.array(seq + base)).append_column("offset", pa.array(off)).append_column("full", pa.array(full[seq])).to_batches(50_000):
             yield x
