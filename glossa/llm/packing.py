@@ -25,10 +25,11 @@ PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECE}, sequence_id long, offset long, full boolean"
 
 
-def pieces(docs: DataFrame, most: int = 2048, tokenizer: str | None = None) -> DataFrame:
+def pieces(docs: DataFrame, most: int = 2048, tokenizer: str | None = None, release: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32. Documents of more than `most` ids are cut from the end, so that only the first piece is shorter.
 
-    Null and empty texts are the end id alone. Repeated rows give their pieces each; other columns are ignored.
+    Null and empty texts are the end id alone. With `release`, a task ends without words in memory, for pipelines whose other stages need it; the
+    result is the same. Repeated rows give their pieces each; other columns are ignored.
     """
     path = tokenizer or default_path()
 
@@ -46,7 +47,8 @@ def pieces(docs: DataFrame, most: int = 2048, tokenizer: str | None = None) -> D
                     at = end
             cols = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
-        forget()  # the worker may go on to other stages of a pipeline
+        if release:
+            forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(task, PIECE)
 

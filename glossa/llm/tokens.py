@@ -102,8 +102,9 @@ _encoders: dict[str, Encoder] = {}
 
 
 def forget() -> None:
-    """Let go of what encoders hold: Python workers go on to tasks of other kinds."""
-    _encoders.clear()
+    """Let go of the words that encoders remember: Python workers go on to tasks of other kinds."""
+    for e in _encoders.values():
+        e.memo.clear()
 
 
 def encoder(path: str) -> Encoder:
