@@ -39,7 +39,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces with their sequence and place. A document that the mix takes twice has its pieces twice."""
-    return packing.pack(cut(packing.pieces(docs), "pieces"))
+    return packing.pack(cut(packing.pieces(docs, release=True), "pieces"))
 
 
 STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("personal_data", personal_data), ("source_mix", source_mix), ("packing", packing_stage)]
