@@ -1,28 +1,32 @@
 """Dictionary matching on normalised text: exact, fuzzy, and chains of both.
 
-A text is scanned once, in Arrow batches, against a table of the dictionary's words; the dictionary goes to the tasks with the code and is bounded
-by MOST_LABELS. Spans are bytes of the normalised, space-surrounded text.
+A text is scanned once, in Arrow batches, against a table of the dictionary's words, which goes to the tasks with the code. A dictionary of more than
+MOST_LABELS is dealt to parts under that bound, one scan each, and the longest label at each word is settled among the parts. Spans are bytes of the
+normalised, space-surrounded text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalise
+from ..shared import written
 
 MOST_LABELS = 2_000_000
+CANDS = pa.list_(pa.struct({"label": pa.string(), "l": pa.int64()}))
+TAKEN = pa.list_(pa.struct({"begin": pa.int64(), "end": pa.int64(), "cands": CANDS}))
+FOUND = "id long, begin long, end long, cands array<struct<label: string, l: bigint>>"
+STATE = "id long, path string, text string, taken array<struct<begin: bigint, end: bigint, cands: array<struct<label: string, l: bigint>>>>"
 SPANS = "path string, begin long, end long, token string, label string, l long, cands array<struct<label: string, l: bigint>>"
 
 
-def _table(dictionary: DataFrame) -> list[str]:
-    found = [r.label for r in dictionary.select("label").distinct().limit(MOST_LABELS + 1).collect()]
-    if len(found) > MOST_LABELS:
-        raise ValueError("the dictionary has too many labels to send to the tasks")
-    return found
+#: What a matcher finds at a word: the word behind, and labels with their distances.
+Hit = tuple[int, list[tuple[str, int]]]
 
 
 class Exact:
@@ -35,16 +39,11 @@ class Exact:
             w = x.split(" ")
             self.longest[w[0]] = max(self.longest.get(w[0], 0), len(w))
 
-    def spans(self, words: list[str]) -> Iterator[tuple[int, int, str | None, list[tuple[str, int]]]]:
-        """(first word, word behind, label, candidates)."""
-        i, n = 0, len(words)
-        while i < n:
-            k = min(self.longest.get(words[i], 0), n - i)
-            while k and " ".join(words[i : i + k]) not in self.labels:
-                k -= 1
-            if k:
-                yield i, i + k, " ".join(words[i : i + k]), []
-            i += max(k, 1)
+    def at(self, words: list[str], i: int) -> Hit | None:
+        k = min(self.longest.get(words[i], 0), len(words) - i)
+        while k and " ".join(words[i : i + k]) not in self.labels:
+            k -= 1
+        return (i + k, [(" ".join(words[i : i + k]), 0)]) if k else None
 
 
 def distance(a: bytes, b: bytes, most: int) -> int:
@@ -83,61 +82,170 @@ class Fuzzy:
     def _near(self, run: bytes) -> set[bytes]:
         return {x for size in self.sizes for i in range(len(run) - size + 1) for x in self.by_piece.get(run[i : i + size], ())}
 
-    def spans(self, words: list[str]) -> Iterator[tuple[int, int, str | None, list[tuple[str, int]]]]:
-        i, n = 0, len(words)
-        while i < n:
-            best: dict[bytes, tuple[int, int]] = {}
-            for j in range(i + 1, min(n, i + self.most_words) + 1):
-                run = " ".join(words[i:j]).encode()
-                for x in self._near(run):
-                    d = distance(run, x, self.k)
-                    if d <= self.k and len(run) >= 3 * d:
-                        best[x] = min(best.get(x, (d, -j)), (d, -j))
-            if best:
-                end = max(-j for _, j in best.values())
-                got = sorted((x.decode(), d) for x, (d, j) in best.items() if -j == end)
-                yield i, end, (got[0][0] if len(got) == 1 and got[0][1] == 0 else None), got
-                i = end
-            else:
-                i += 1
-
-
-def _chain(text: str, matchers: list) -> list[tuple[int, int, str, str | None, list[tuple[str, int]]]]:
-    """(begin, end, token, label, candidates): what each matcher in turn finds in the gaps that the others left."""
-    words = text.split(" ")[1:-1] if len(text) > 2 else []
+    def at(self, words: list[str], i: int) -> Hit | None:
+        best: dict[bytes, tuple[int, int]] = {}
+        for j in range(i + 1, min(len(words), i + self.most_words) + 1):
+            run = " ".join(words[i:j]).encode()
+            for x in self._near(run):
+                d = distance(run, x, self.k)
+                if d <= self.k and len(run) >= 3 * d:
+                    best[x] = min(best.get(x, (d, -j)), (d, -j))
+        if not best:
+            return None
+        end = max(-j for _, j in best.values())
+        return end, sorted((x.decode(), d) for x, (d, j) in best.items() if -j == end)
+
+
+def _matcher(labels: list[str], k: int) -> Exact | Fuzzy:
+    return Fuzzy(labels, k) if k else Exact(labels)
+
+
+def _words(text: str) -> list[str]:
+    return text.split(" ")[1:-1] if len(text) > 2 else []
+
+
+def _free(taken: list[tuple], n: int) -> Iterator[tuple[int, int]]:
+    """Runs of words that no span holds."""
+    low = 0
+    for a, b, *_ in [*taken, (n, n)]:
+        if low < a:
+            yield low, a
+        low = b
+
+
+def _walk(low: int, high: int, at: Callable[[int], Hit | None]) -> Iterator[tuple[int, int, list[tuple[str, int]]]]:
+    """Leftmost hits that do not overlap."""
+    while low < high:
+        hit = at(low)
+        if hit:
+            yield low, *hit
+        low = hit[0] if hit else low + 1
+
+
+def _chain(words: list[str], matchers: list[Exact | Fuzzy]) -> list[tuple[int, int, list[tuple[str, int]]]]:
+    """(first word, word behind, labels): what each matcher in turn finds in the gaps that the others left."""
+    taken: list[tuple[int, int, list[tuple[str, int]]]] = []
+    for m in matchers:
+        new = []
+        for a, b in _free(taken, len(words)):
+            part = words[a:b]
+            new += [(a + i, a + j, c) for i, j, c in _walk(0, b - a, lambda i: m.at(part, i))]  # noqa: B023
+        taken = sorted(taken + new)
+    return taken
+
+
+def _rows(path: str, text: str, words: list[str], taken: list[tuple], gaps: bool) -> Iterator[dict]:
+    """Spans in bytes. One label without edits is a plain match; others are candidates."""
     at, starts = 1, []
     for w in words:
         starts.append(at)
         at += len(w.encode()) + 1
-    taken: list[tuple[int, int, str | None, list[tuple[str, int]]]] = []
-    for m in matchers:
-        gaps, low = [], 0
-        for a, b, *_ in [*taken, (len(words), len(words))]:
-            if low < a:
-                gaps.append((low, a))
-            low = b
-        taken = sorted(taken + [(a + i, a + j, x, c) for a, b in gaps for i, j, x, c in m.spans(words[a:b])], key=lambda t: t[0])
-    return [(starts[i], starts[j - 1] + len(words[j - 1].encode()), " ".join(words[i:j]), x, c) for i, j, x, c in taken]
+    done, whole = 0, text.encode() if gaps else b""
+    gap = lambda a, b: {"path": path, "begin": a, "end": b, "token": whole[a:b].decode(), "label": None, "l": 0, "cands": None}
+    for i, j, cands in taken:
+        a, b = starts[i], starts[j - 1] + len(words[j - 1].encode())
+        if gaps and done < a:
+            yield gap(done, a)
+        plain = len(cands) == 1 and cands[0][1] == 0
+        yield {"path": path, "begin": a, "end": b, "token": " ".join(words[i:j]), "label": cands[0][0] if plain else None, "l": max(d for _, d in cands), "cands": None if plain else [{"label": x, "l": d} for x, d in cands]}
+        done = b
+    if gaps and done < len(whole):
+        yield gap(done, len(whole))
+
+
+_SPANS = pa.schema({"path": pa.string(), "begin": pa.int64(), "end": pa.int64(), "token": pa.string(), "label": pa.string(), "l": pa.int64(), "cands": CANDS})
+_FOUND = pa.schema({"id": pa.int64(), "begin": pa.int64(), "end": pa.int64(), "cands": CANDS})
+_STATE = pa.schema({"id": pa.int64(), "path": pa.string(), "text": pa.string(), "taken": TAKEN})
+
+
+def _batches(rows: Iterator[dict], schema: pa.Schema, size: int = 10_000) -> Iterator[pa.RecordBatch]:
+    while part := list(islice(rows, size)):
+        yield pa.RecordBatch.from_pylist(part, schema)
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, list[str], list[tuple]]]:
+    """Rows of STATE with their words and spans."""
+    for batch in batches:
+        for x in batch.to_pylist():
+            yield x, _words(x["text"]), [(t["begin"], t["end"], [(c["label"], c["l"]) for c in t["cands"]]) for t in x["taken"] or []]
+
+
+def _packed(taken: list[tuple]) -> list[dict]:
+    return [{"begin": i, "end": j, "cands": [{"label": x, "l": d} for x, d in c]} for i, j, c in taken]
+
+
+def _find(labels: list[str], k: int):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = _matcher(labels, k)
+
+        def rows() -> Iterator[dict]:
+            for x, words, taken in _each(batches):
+                for a, b in _free(taken, len(words)):
+                    part = words[a:b]
+                    for i in range(b - a):
+                        if hit := m.at(part, i):
+                            yield {"id": x["id"], **_packed([(a + i, a + hit[0], hit[1])])[0]}
+
+        return _batches(rows(), _FOUND)
+
+    return task
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of STATE, of which `more` has what the parts found at each word, with the leftmost of it taken."""
+
+    def rows() -> Iterator[dict]:
+        for x, words, taken in _each(batches):
+            hits = {t["begin"]: (t["end"], sorted((c["label"], c["l"]) for c in t["cands"])) for t in x["more"] or []}
+            new = [s for a, b in _free(taken, len(words)) for s in _walk(a, b, hits.get)]
+            yield {"id": x["id"], "path": x["path"], "text": x["text"], "taken": _packed(sorted(taken + new))}
+
+    return _batches(rows(), _STATE, 200)
+
+
+def _in_parts(docs: DataFrame, labels: DataFrame, kinds: list[int], most: int) -> DataFrame:
+    """Rows of STATE for docs (path, text), by scans of a part of the labels each. Only one part is on the driver at a time: what a scan finds is
+    written before the next. At a word, each part keeps the labels that end furthest, and so do all parts together."""
+    parts = -(-labels.count() * 11 // (most * 10))
+    dealt = written(labels.withColumn("part", F.pmod(F.xxhash64("label"), F.lit(parts))), "labels")
+    state = written(docs.select(F.monotonically_increasing_id().alias("id"), "path", "text", F.lit(None).cast(STATE.split("taken ")[1]).alias("taken")), "texts")
+    for k in kinds:
+        found = None
+        for part in range(parts):
+            own = [r.label for r in dealt.where(F.col("part") == part).select("label").collect()]
+            new = written(state.mapInArrow(_find(own, k), FOUND), "found")
+            found = new if found is None else found.unionByName(new)
+        ends = found.groupBy("id", "begin", "end").agg(F.flatten(F.collect_list("cands")).alias("cands"))
+        best = ends.groupBy("id", "begin").agg(F.max_by(F.struct("end", "cands"), "end").alias("x"))
+        more = best.groupBy("id").agg(F.collect_list(F.struct("begin", "x.end", "x.cands")).alias("more"))
+        state = written(state.join(more, "id", "left").mapInArrow(_settle, STATE), "texts")
+    return state
 
 
-def match(docs: DataFrame, dictionary: DataFrame, errors: tuple[int, ...] = (), gaps: bool = False) -> DataFrame:
+def match(docs: DataFrame, dictionary: DataFrame, errors: tuple[int, ...] = (), gaps: bool = False, most: int = MOST_LABELS) -> DataFrame:
     """Spans of docs (path, text): fuzzy matching for each positive error limit, the largest first, and exact matching last. With `gaps`, the text
-    between matches too, with neither label nor candidates. Documents are independent; a null text is empty."""
-    found = _table(dictionary)
-
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matchers = [*(Fuzzy(found, k) for k in sorted({k for k in errors if k > 0}, reverse=True)), Exact(found)]
-        for batch in batches:
-            rows = []
-            for path, text in zip(batch["path"], batch["text"], strict=True):
-                done, whole = 0, text.encode() if gaps else b""
-                for a, b, token, label, cands in _chain(text, matchers):
-                    if gaps and done < a:
-                        rows.append((path, done, a, whole[done:a].decode(), None, 0, None))
-                    rows.append((path, a, b, token, label, max((d for _, d in cands), default=0), [{"label": x, "l": d} for x, d in cands] if label is None else None))
-                    done = b
-                if gaps and done < len(whole):
-                    rows.append((path, done, len(whole), whole[done:].decode(), None, 0, None))
-            yield pd.DataFrame(rows, columns=["path", "begin", "end", "token", "label", "l", "cands"])
-
-    return docs.select(F.col("path").cast("string").alias("path"), normalise(F.col("text")).alias("text")).mapInPandas(task, SPANS)
+    between matches too, with neither label nor candidates. Documents are independent, also where they share a path; a null text is empty. Null labels
+    match nothing. A dictionary of more than `most` labels gives the same spans, by one scan for each part of it."""
+    labels = dictionary.select("label").where("label is not null").distinct()
+    kinds = [*sorted({k for k in errors if k > 0}, reverse=True), 0]
+    texts = docs.select(F.col("path").cast("string").alias("path"), normalise(F.col("text")).alias("text"))
+    few = [r.label for r in labels.limit(most + 1).collect()]
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matchers = [_matcher(few, k) for k in kinds]
+
+        def rows() -> Iterator[dict]:
+            for batch in batches:
+                for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                    words = _words(text)
+                    yield from _rows(path, text, words, _chain(words, matchers), gaps)
+
+        return _batches(rows(), _SPANS)
+
+    def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _batches((r for x, words, taken in _each(batches) for r in _rows(x["path"], x["text"], words, taken, gaps)), _SPANS)
+
+    if len(few) <= most:
+        return texts.mapInArrow(whole, SPANS)
+    few = []
+    return _in_parts(texts, labels, kinds, most).mapInArrow(settled, SPANS)

@@ -3,6 +3,7 @@
 import glob
 import math
 import os
+import random
 
 import duckdb
 import pytest
@@ -74,8 +75,29 @@ def test_markup():
     ],
 )
 def test_match(text, k, out):
-    got = match._chain(text, [match.Fuzzy(LABELS, k)] if k else [match.Exact(LABELS)])
-    assert [(a, b, c or x) for a, b, _, x, c in got] == out
+    words = match._words(text)
+    taken = match._chain(words, [match.Fuzzy(LABELS, k)] if k else [match.Exact(LABELS)])
+    rows = match._rows("p", text, words, taken, False)
+    assert [(r["begin"], r["end"], c if k else c[0][0]) for r, (_, _, c) in zip(rows, taken, strict=True)] == out
+
+
+@pytest.mark.parametrize("errors", [(), (1,), (3, 1)])
+@pytest.mark.parametrize("gaps", [False, True])
+def test_match_in_parts(spark, errors, gaps):
+    """A dictionary over the bound gives what one under it gives; texts that share a path, empty and null texts and null labels are among them."""
+    rng = random.Random(len(errors))
+    words = ["mitch", "mxtch", "match", "bbb", "hot", "hxt", "hit", "caf\u00e9", "of"]
+    texts = [" ".join(rng.choices(words, k=rng.randint(1, 25))) for _ in range(40)]
+    docs = spark.createDataFrame([("same", t) for t in texts] + [(f"p{i}", t) for i, t in enumerate([*texts[:5], "", None, "!?"])] + [(None, "match")], "path string, text string")
+    labels = spark.createDataFrame([(x,) for x in [*LABELS, *LABELS, "caf\u00e9 of", "of", "of match", "bbb of match", None]], "label string")
+    rows = lambda most: sorted(match.match(docs, labels, errors, gaps, most).collect(), key=str)
+    few, many = rows(100), rows(2)
+    assert few and many == few
+
+
+def test_match_without_documents(spark):
+    docs, labels = spark.createDataFrame([], "path string, text string"), spark.createDataFrame([(x,) for x in LABELS], "label string")
+    assert match.match(docs, labels, (1,), True).count() == match.match(docs, labels, (1,), True, 2).count() == 0
 
 
 @pytest.mark.parametrize("text,out", [("?10*(*(C, D))", "?*10(*(C,D))"), ('?("A B"("C D","E F"))', "?(A B(C D,E F))"), ("?(!S(A))", "?(!S(A))"), ("?(A)", "?(A)")])
