@@ -32,15 +32,17 @@ RAW = frozenset("script style template noscript textarea iframe svg math object
 BOILERPLATE = frozenset("nav footer aside form button menu dialog head datalist fieldset label legend".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd mark nobr q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr br".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: A class or id is one of a container that is never text if all its parts are known here and one of them is of the first kind.
 CLASS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?\w*|consent|gdpr|notices?|alert|popup|modal|overlay|nav\w*|menus?|breadcrumbs?|sidebar|side|aside|footer|"
-    r"foot|masthead|topbar|toolbar|share|sharing|social|related|recommend\w*|comments?|commentlist|respond|repl(?:y|ies)|disqus|newsletter|subscri\w*|login|signup|search|widgets?|pagination|pager|tags|copyright|legal|skip)"
-    r"(?:$|[\s_-])",
+    r"ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?\w*|consent|gdpr|notices?|alert|popup|modal|overlay|nav\w*|menus?|breadcrumbs?|sidebar|side|aside|footer|"
+    r"foot|masthead|topbar|toolbar|share|sharing|social|related|recommend\w*|comments?|commentlist|respond|repl(?:y|ies)|disqus|newsletter|subscri\w*|login|signup|search|widgets?|pagination|pager|tags|copyright|legal|skip",
     re.I,
 )
-HEADER_CLASS = re.compile(r"(?:^|[\s_-])(?:site|page|global|main|top)?[_-]?header(?:$|[\s_-])", re.I)
+BESIDE = frozenset("site page main global primary secondary top bottom left right post posts entry article articles user blog mobile list box bar area section links link buttons button icons form container wrapper inner body item items block".split())
+HEADER_CLASS = re.compile(r"(?:(?:site|page|global|main|top)?[_-]?)header", re.I)
 ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?""")
+_PARTS = re.compile(r"[_-]+")
 _TAG_NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9:-]*)")
 _TAG_END = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*+>""")
 _WORD = re.compile(r"\w+")
@@ -63,15 +65,30 @@ def _closing(name: str, page: str, at: int) -> tuple[int, int]:
     return (m.start(), m.end()) if m else (len(page), len(page))
 
 
-def _attributes(tag: str) -> dict[str, str]:
-    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(tag)}
+def _attributes(tag: str, at: int) -> dict[str, str]:
+    """Names and values in order, from behind the tag's name; of attributes of one name the first counts."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(tag, at):
+        out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
+
+
+def _never_text(token: str) -> bool:
+    parts = [x for x in _PARTS.split(token) if x]
+    known = [bool(CLASS.fullmatch(x)) for x in parts]
+    return any(known) and all(k or x.lower() in BESIDE for k, x in zip(known, parts, strict=True))
+
+
+def _classed(a: dict[str, str]) -> bool:
+    return any(_never_text(x) for x in f"{a.get('class', '')} {a.get('id', '')}".split())
 
 
 def blocks(page: str) -> list[Block]:
     """The blocks of a page that hold text, in order."""
     out: list[Block] = []
     now = Block()
-    stack: list[tuple[str, bool, int]] = []  # open containers: name, whether boilerplate, article
+    # open containers: name, whether boilerplate (1: by class alone, and no article element around it), article, whether in an article element
+    stack: list[tuple[str, int, int, bool]] = []
     links = 0
     articles = 0
     breaks = 0
@@ -82,7 +99,7 @@ def blocks(page: str) -> list[Block]:
             now.text = " ".join(html.unescape("".join(now.parts)).split())
             if now.text:
                 out.append(now)
-        now = Block(bad=bool(stack) and stack[-1][1], article=stack[-1][2] if stack else 0)
+        now = Block(bad=bool(stack) and stack[-1][1] > 0, article=stack[-1][2] if stack else 0)
 
     def add(text: str) -> None:
         nonlocal breaks
@@ -137,23 +154,27 @@ def blocks(page: str) -> list[Block]:
         links = 0
         if not closing:
             if name not in VOID and not (name in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "dt", "dd", "tr", "td", "th", "html", "body")):
-                bad, article = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-                a = _attributes(tag)
-                if name in ("article", "main") and not bad and not article:
-                    articles += 1
-                    article = articles
-                named = f"{a.get('class', '')} {a.get('id', '')}"
-                bad = bad or name in BOILERPLATE or name == "header" and not article or a.get("role", "").lower() in ROLE or "hidden" in a or a.get("aria-hidden") == "true"
-                if not bad and name not in ("article", "main") and named.strip():
-                    bad = bool(CLASS.search(named)) or not article and bool(HEADER_CLASS.search(named))
-                stack.append((name, bad, article))
+                bad, article, own = stack[-1][1:] if stack else (0, 0, False)
+                a = _attributes(tag, len(name) + 1)
+                if name in ("article", "main"):
+                    if bad == 1 and not _classed(a):
+                        bad = 0
+                    if not bad and not article:
+                        articles += 1
+                        article = articles
+                    own = own or name == "article" and not bad
+                if name in BOILERPLATE or name == "header" and not article or a.get("role", "").lower() in ROLE or "hidden" in a or a.get("aria-hidden") == "true":
+                    bad = 2
+                elif not bad and name not in ("article", "main"):
+                    if _classed(a) or not article and any(HEADER_CLASS.fullmatch(x) for k in ("class", "id") for x in a.get(k, "").split()):
+                        bad = 2 if own else 1
+                stack.append((name, bad, article, own))
             elif name == "body":
                 stack[:] = [x for x in stack if x[0] != "head"]
             end_block()
             if name in ("p", "li", "td", "dd") and not now.bad:
-                a = _attributes(tag)
-                named = f"{a.get('class', '')} {a.get('id', '')}".strip()
-                now.bad = bool(named) and bool(CLASS.search(named)) or "hidden" in a
+                a = _attributes(tag, len(name) + 1)
+                now.bad = _classed(a) or "hidden" in a
         else:
             k = len(stack) - 1
             while k >= 0 and stack[k][0] != name:

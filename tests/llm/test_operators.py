@@ -85,6 +85,25 @@ def test_html(spark):
     assert html_text.extract(f"<div class=menu><a>Home</a></div><h2>Heading</h2><p>{long}</p><div><a href=1>more of the</a></div>") == "Heading\n" + long.strip()
 
 
+def test_html_containers():
+    long = "It is one of the places that a traveller to the north would like to see, and it is not far from the road. " * 3
+    kept = ['style="overflow:hidden"', 'data-hidden="false"', 'title="hidden gems"', "title='the hidden sidebar'", 'class="content-sidebar-wrap"', 'class="layout has-sidebar"', 'class="section no-comments"', 'class="elementor-widget-wrap"', 'id="related-work"', 'id="social-impact"', 'data-x="a>b hidden"', "data-id=footer"]
+    for a in kept:
+        assert html_text.extract(f"<div {a}><p>{long}</p></div>") == long.strip(), a
+        assert html_text.extract(f"<article><section {a}><p>{long}</p></section></article>") == long.strip(), a
+    gone = ["hidden", 'HIDDEN=""', 'title="x"hidden', 'class="a sidebar"', 'class="site-footer"', 'id="comments"', 'class="comment-list"', 'class="related-posts"', 'class="cookie-banner"', "class=nav", 'id="site-header"', 'class="x" class="y" hidden', 'aria-hidden="true"', 'role="navigation"']
+    for a in gone:
+        assert html_text.extract(f"<div {a}><p>{long}</p></div>") == "", a
+    # an article reopens what class alone has closed, but neither what is hidden nor a comment
+    for a in ('class="sidebar"', 'id="site-header"'):
+        assert html_text.extract(f"<div {a}><p>{long}</p><article><p>{long}</p></article></div>") == long.strip(), a
+        assert html_text.extract(f"<div {a}><main><div class=x><p>{long}</p></div></main></div>") == long.strip(), a
+    assert html_text.extract(f"<div hidden class=sidebar><article><p>{long}</p></article></div>") == ""
+    assert html_text.extract(f"<nav><div class=sidebar><article><p>{long}</p></article></div></nav>") == ""
+    assert html_text.extract(f"<div id=comments><article class=comment-body><p>{long}</p></article></div>") == ""
+    assert html_text.extract(f"<article><p>The article. {long}</p><div id=comments><article><p>{long}</p></article></div></article>") == f"The article. {long.strip()}"
+
+
 def _bag(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
     return collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else collections.Counter([tuple(w)] if w else [])
