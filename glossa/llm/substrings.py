@@ -3,9 +3,10 @@
 Each window of `length` bytes has an anchor, its leftmost least hashed 64-byte string. Equal windows have equal anchors at equal places, so only
 windows whose anchor string occurs twice can repeat. Those windows, in runs that share an anchor, are dealt by the anchor's hash; equal windows
 meet in one partition, and each window of the corpus comes to exactly one. A partition writes its runs to disk in shards, and each shard's suffixes are sorted
-by external induced sorting with common prefixes (suffixes.py): a window repeats if its suffix shares `length` bytes with a neighbour. Hashes only
-choose what is compared and where; what is removed is decided by bytes. A partition may be far larger than memory: shards are cut by
-anchor, and an anchor with more runs than fit is cut by the windows' distance from it.
+by induced sorting with common prefixes (suffixes.py): a window repeats if its suffix shares `length` bytes with a neighbour. Hashes only
+choose what is compared and where; what is removed is decided by bytes. A partition may be far larger than memory: its files are cut to further files, read
+batch by batch, by anchor; an anchor with more runs than fit by the windows' distance from it; one distance by hashes of the windows' bytes; and the places
+of one window are passed on without being held. A shard is sorted in memory: the queues of suffixes.py go to disk only for shards larger than those here.
 
 Exact copies of a text are read once: all of it repeats if it has `length` bytes.
 """
@@ -13,6 +14,7 @@ Exact copies of a text are read once: all of it repeats if it has `length` bytes
 from __future__ import annotations
 
 import hashlib
+import pickle
 import tempfile
 from collections.abc import Iterator
 
@@ -158,6 +160,43 @@ def _cut_runs(length: int, anchor: int):
     return task
 
 
+#: Bytes that a place takes in memory, about.
+_PLACE = 128
+
+
+class _Rows:
+    """Rows (h, away, data, found) in a file, batch by batch. weight: bytes they take in memory, about."""
+
+    def __init__(self, folder: str):
+        self.file = tempfile.TemporaryFile(dir=folder)  # noqa: SIM115
+        self.weight = self.count = 0
+        self.one_anchor = self.one_data = True
+        self.first: tuple | None = None
+        self.low = self.high = 0  # the windows' distances from their anchors
+
+    def add(self, rows: list[tuple], length: int) -> None:
+        if not rows:
+            return
+        if self.first is None:
+            self.first = (rows[0][0], rows[0][2])
+            self.low = self.high = rows[0][1]
+        for h, away, data, found in rows:
+            self.weight += len(data) + _PLACE * len(found)
+            self.one_anchor &= h == self.first[0]
+            self.one_data &= data == self.first[1]
+            self.low, self.high = min(self.low, away - len(data) + length), max(self.high, away)
+        self.count += len(rows)
+        pickle.dump(rows, self.file, 5)
+
+    def __iter__(self) -> Iterator[list[tuple]]:
+        self.file.seek(0)
+        while True:
+            try:
+                yield pickle.load(self.file)
+            except EOFError:
+                return
+
+
 _FOUND = "array<struct<key: binary, at: bigint>>"
 
 
@@ -193,63 +232,95 @@ def _marks_of_shard(data: list[bytes], found: list[list[tuple[bytes, int]]], len
 
 
 def _marks(length: int, shard: int = SHARD):
-    def by_anchor(rows: list, bits: int) -> Iterator[list]:
-        """Rows in shards of at most `shard` bytes by further bits of the anchor's hash, then by the windows' distance from the anchor."""
-        if sum(len(x[2]) for x in rows) <= shard or len(rows) == 1:
-            yield rows
-        elif bits < 64 and len({x[0] for x in rows}) > 1:
-            split: dict[int, list] = {}
-            for x in rows:
-                split.setdefault((x[0] & (1 << 64) - 1) >> bits & 15, []).append(x)
-            for part in split.values():
-                yield from by_anchor(part, bits + 4)
+    def marks(rows: _Rows) -> Iterator[tuple[bytes, int, int]]:
+        held = [x for batch in rows for x in batch]
+        rows.file.close()
+        yield from _marks_of_shard([x[2] for x in held], [x[3] for x in held], length)
+
+    def split(rows: _Rows, folder: str, part) -> list[_Rows]:
+        """The rows in further files by part(row), from 0 to 15; their own file goes."""
+        files: dict[int, _Rows] = {}
+        for batch in rows:
+            own: dict[int, list] = {}
+            for x in batch:
+                own.setdefault(part(x), []).append(x)
+            for k, some in own.items():
+                if k not in files:
+                    files[k] = _Rows(folder)
+                files[k].add(some, length)
+        rows.file.close()
+        return list(files.values())
+
+    def between(rows: _Rows, folder: str, low: int, high: int) -> _Rows:
+        """The windows whose distance from their anchor is from low to high, as runs of their own; equal ones of a batch are one row."""
+        out = _Rows(folder)
+        for batch in rows:
+            own: dict[bytes, tuple] = {}
+            for h, away, data, found in batch:
+                a, b = max(0, away - high), min(len(data) - length + 1, away - low + 1)
+                if a < b:
+                    own.setdefault(data[a : b - 1 + length], (h, away - a, []))[2].extend((k, at + a) for k, at in found)
+            out.add([(h, away, data, found) for data, (h, away, found) in own.items()], length)
+        return out
+
+    def by_anchor(rows: _Rows, folder: str, bits: int) -> Iterator[tuple[bytes, int, int]]:
+        """Marks of the rows, in shards of at most `shard` bytes: by further bits of the anchor's hash, then by the windows' distance from the anchor."""
+        if rows.weight <= shard or rows.count == 1:
+            yield from marks(rows)
+        elif not rows.one_anchor:
+            for part in split(rows, folder, lambda x: (x[0] & (1 << 64) - 1) >> bits & 15):
+                yield from by_anchor(part, folder, bits + 4)
         else:
-            # one anchor: windows at most 8 apart in distance from it, as runs of their own; equal windows have equal distances
-            split = {}
-            for h, away, data, found in rows:
-                windows = len(data) - length + 1
-                a = 0
-                while a < windows:
-                    band = (away - a) // 8
-                    b = min(windows, away - band * 8 + 1)
-                    split.setdefault(band, []).append((h, away - a, data[a : b - 1 + length], [(k, at + a) for k, at in found]))
-                    a = b
-            yield from split.values()
+            # equal windows have equal distances from the anchor; one band of distances is on disk at a time
+            for band in range(rows.low // 8, rows.high // 8 + 1):
+                near = between(rows, folder, band * 8, band * 8 + 7)
+                if near.weight <= shard:
+                    if near.count:
+                        yield from marks(near)
+                    continue
+                for away in range(near.low, near.high + 1):
+                    yield from by_bytes(between(near, folder, away, away), folder, 0)
+                near.file.close()
+            rows.file.close()
+
+    def by_bytes(rows: _Rows, folder: str, bits: int) -> Iterator[tuple[bytes, int, int]]:
+        """Marks of rows of one window each: by bits of a hash of their bytes; the places of a single window are not held."""
+        if rows.one_data:
+            places = lambda: (f for batch in rows for x in batch for f in x[3])
+            first = next(places(), None)
+            if any(f != first for f in places()):
+                for key, at in places():
+                    yield key, at, at + length
+            rows.file.close()
+        elif rows.weight <= shard:
+            yield from marks(rows)
+        else:
+            for part in split(rows, folder, lambda x: hashlib.sha256(x[2]).digest()[bits // 8] >> bits % 8 & 15):
+                yield from by_bytes(part, folder, bits + 4)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pickle
-
         with tempfile.TemporaryDirectory() as folder:
-            files: dict[int, object] = {}
+            files: dict[int, _Rows] = {}
             for batch in batches:
-                split: dict[int, list] = {}
+                own: dict[int, list] = {}
                 for h, away, data, found in zip(*(batch.column(c).to_pylist() for c in ("h", "away", "data", "found")), strict=True):
-                    split.setdefault((h & (1 << 64) - 1) >> 48 & 15, []).append((h, away, data, [(x["key"], x["at"]) for x in found]))
-                for k, rows in split.items():
+                    own.setdefault((h & (1 << 64) - 1) >> 48 & 15, []).append((h, away, data, [(x["key"], x["at"]) for x in found]))
+                for k, rows in own.items():
                     if k not in files:
-                        files[k] = open(f"{folder}/{k}", "wb+")  # noqa: SIM115
-                    pickle.dump(rows, files[k], 5)
+                        files[k] = _Rows(folder)
+                    files[k].add(rows, length)
             out: list[tuple[bytes, int, int]] = []
 
             def block() -> pa.RecordBatch:
                 cols = list(zip(*out, strict=True)) or [(), (), ()]
                 return pa.record_batch([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], names=["key", "low", "high"])
 
-            for file in files.values():
-                file.seek(0)
-                rows = []
-                while True:
-                    try:
-                        rows += pickle.load(file)
-                    except EOFError:
-                        break
-                file.close()
-                for part in by_anchor(rows, 0):
-                    for x in _marks_of_shard([x[2] for x in part], [x[3] for x in part], length):
-                        out.append(x)
-                        if len(out) >= 20_000:
-                            yield block()
-                            out = []
+            for rows in files.values():
+                for x in by_anchor(rows, folder, 0):
+                    out.append(x)
+                    if len(out) >= 20_000:
+                        yield block()
+                        out = []
             yield block()
 
     return task

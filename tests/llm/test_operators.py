@@ -72,6 +72,47 @@ def test_one_anchor_is_cut_by_distance():
     assert spans[0] == spans[1] and len(spans[0]) == 6
 
 
+def _anchored(n, many, batch=500):
+    """Batches of runs of one anchor among different neighbours: of the first 200 texts two each are equal, and all texts share the windows from their 24th byte on."""
+    import pyarrow as pa
+
+    for c in range(0, n, batch):
+        ks = range(c, min(c + batch, n))
+        data = [(b"%06d" % (k % 100)) * 4 + b"p" * (176 + many - 1) if k < 200 else (b"%08d" % k) * 3 + b"p" * (176 + many - 1) for k in ks]
+        yield pa.record_batch([pa.array([7] * len(ks), pa.int64()), pa.array([many + 20] * len(ks), pa.int32()), pa.array(data, pa.binary()), pa.array([[{"key": b"%d" % k, "at": 3}] for k in ks], pa.list_(pa.struct([("key", pa.binary()), ("at", pa.int64())])))], names=["h", "away", "data", "found"])
+
+
+def test_one_anchor_is_never_held(monkeypatch):
+    """No more than the limit is sorted or held at once, whatever one anchor or one window has, and the marks are those of brute force."""
+    import tracemalloc
+
+    n, many, limit = 700, 27, 60_000
+    where = collections.defaultdict(set)
+    for b in _anchored(n, many):
+        for data, found in zip(b.column("data").to_pylist(), b.column("found").to_pylist(), strict=True):
+            for a in range(many):
+                where[data[a : a + 200]].add((found[0]["key"], 3 + a))
+    want = collections.defaultdict(list)
+    for places in where.values():
+        for key, at in places if len(places) > 1 else ():
+            want[key].append((at, at + 200))
+    sizes, real = [], substrings._marks_of_shard
+    monkeypatch.setattr(substrings, "_marks_of_shard", lambda data, found, length: sizes.append(sum(map(len, data))) or real(data, found, length))
+    got = collections.defaultdict(list)
+    for b in substrings._marks(200, limit)(_anchored(n, many)):
+        for key, low, high in zip(*(b.column(c).to_pylist() for c in ("key", "low", "high")), strict=True):
+            got[key].append((low, high))
+    assert {k: substrings.merge(v) for k, v in got.items()} == {k: substrings.merge(v) for k, v in want.items()}
+    assert max(sizes) <= limit
+    monkeypatch.setattr(substrings, "_marks_of_shard", lambda *a: iter(()))
+    tracemalloc.start()
+    for _ in substrings._marks(200, limit)(_anchored(10_000, 2)):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10_000 * 201
+
+
 PAGE = """<html><head><title>t</title><style>p{}</style></head><body><nav><a href=1>The menu</a></nav><div class="ad">the of and to a in is</div><header>The site of the day</header>
 <article><h1>A &eacute;t&#233; &amp; b</h1><p>The   text of\nthe <b>day</b>.</p><script>var x = "</p>";</script><p>Short.<br>Line</p><form>the of <input></form><div class="comments">the reader of it</div></article><aside>x</aside><footer>&copy; y</footer>"""
 
