@@ -321,6 +321,17 @@ def test_pii(spark):
     assert [r.text for r in pii.redacted(frame(spark, ["x a@b.co y", None])).orderBy("doc_id").collect()] == ["x <EMAIL> y", None]
 
 
+def test_pii_ibans_and_context():
+    number, spaced = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00"
+    for t, want in [(f"IBAN {spaced} BIC COBADEFFXXX", spaced), (f"IBAN: {number} BIC COBADEFF", number), (f"to {number} 100 EUR", number), (f"order {number}", number), (f"AB12 {spaced} X", spaced), ("GB82 WEST 1234 5698 7654 32 AND", "GB82 WEST 1234 5698 7654 32"), ("123-45-6789 (SSN)", "123-45-6789"), ("SSN 123-45-6789 order", "123-45-6789")]:
+        assert [t[a:b] for _, a, b, _ in pii.find(t)] == [want], t
+    for t in (f"{number}1", number[:-1] + "1", "123-45-6789", "order 123-45-6789 (SSN)", f"{number}_"):
+        assert not [x for x in pii.find(t) if x[0] in ("iban", "ssn")], t
+    t = f"{number} {spaced} {number}"
+    assert [t[a:b] for _, a, b, _ in pii.find(t)] == [number, spaced, number]
+    assert pii.redact(t, pii.find(t)) == "<IBAN> <IBAN> <IBAN>"
+
+
 def test_mixing(spark):
     r = random.Random(4)
     sources = [r.choice(["a", "a", "a", "b", "c", "d", None]) for _ in range(200)]
