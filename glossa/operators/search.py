@@ -41,9 +41,11 @@ def concepts(kb: Kb, q: str, n: int = -1) -> DataFrame:
     return out if n < 0 else out.orderBy("url").limit(n)
 
 
-def context(spans: DataFrame, docs: DataFrame, n: int) -> DataFrame:
-    """path, begin, before, token, after: n bytes on both sides of a span in the normalised text (path, text)."""
+def context(spans: DataFrame, docs: DataFrame, n: int, as_hex: bool = False) -> DataFrame:
+    """path, begin, before, token, after: n bytes on both sides of a span in the normalised text (path, text). as_hex: before and after in
+    hexadecimal, for windows that cut a character."""
+    part = (lambda t, a, b: F.hex(F.substring(F.encode(t, "UTF-8"), (a + 1).cast("int"), (b - a).cast("int")))) if as_hex else byte_slice
     text = docs.select(F.col("path").cast("string").alias("path"), normalise(F.col("text")).alias("text"))
     x = spans.join(text, "path").where((F.col("begin") >= 0) & (F.col("begin") <= F.col("end")) & (F.col("end") < F.octet_length("text")))
     low, high = F.greatest(F.lit(0), F.col("begin") - n), F.least(F.octet_length("text").cast("long"), F.col("end") + n)
-    return x.select("path", "begin", byte_slice(F.col("text"), low, F.col("begin")).alias("before"), byte_slice(F.col("text"), F.col("begin"), F.col("end")).alias("token"), byte_slice(F.col("text"), F.col("end"), high).alias("after"))
+    return x.select("path", "begin", part(F.col("text"), low, F.col("begin")).alias("before"), byte_slice(F.col("text"), F.col("begin"), F.col("end")).alias("token"), part(F.col("text"), F.col("end"), high).alias("after"))

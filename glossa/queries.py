@@ -208,6 +208,7 @@ QUERIES = {
     "search_parents": lambda s, d: search.parents(word_kb(s), f"{NS}top"),
     "concept_info": lambda s, d: search.info(word_kb(s, "discard"), THE),
     "context_kwic": lambda s, d: search.context(spans(s, d), documents(s, d), 12).select("path", "begin", "token", F.octet_length(F.encode("before", "UTF-8")).cast("long").alias("n_before")).where("token = 'the'").select("path", "begin", "token"),
+    "context_windows": lambda s, d: search.context(spans(s, d), documents(s, d), 12, as_hex=True),
     "resolve_simple": _resolved(resolve.simple),
     "resolve_thematic": _resolved(resolve.thematic),
     "resolve_ruled": _resolved(lambda near: resolve.ruled({u: f'cs("{t[0]}") > 2' for u, t in near.items()})),
@@ -257,6 +258,9 @@ ORACLE_SQL = {
     "search_parents": f"WITH {_T}, {_EDGES} SELECT DISTINCT s AS url FROM e WHERE o = '{NS}top'",
     "concept_info": f"WITH {_T} SELECT CASE WHEN p = '{NS}label' THEN '' ELSE p END AS p, o FROM t WHERE s = '{THE}'",
     "context_kwic": f"WITH {_T}, {_DICT}, {_SPANS} SELECT path, \"begin\", token FROM sp WHERE token = 'the'",
+    "context_windows": f"""WITH {_T}, {_DICT}, {_SPANS},
+        t8 AS (SELECT 'doc/' || doc_id AS path, hex(' ' || trim(regexp_replace(coalesce(text, ''), '[\\s\\pP\\pS\\pZ]+', ' ', 'g')) || ' ') AS x FROM documents)
+        SELECT sp.path, "begin", substr(x, 2 * greatest(0, "begin" - 12) + 1, 2 * ("begin" - greatest(0, "begin" - 12))) AS before, token, substr(x, 2 * "end" + 1, 24) AS after FROM sp JOIN t8 ON t8.path = sp.path""",
     "rule_values": f"SELECT rule, value::DOUBLE AS value FROM ({_values(list(zip(RULES, RULE_VALUES, strict=True)))}) v(rule, value)",
     "turtle_triples": f"SELECT * FROM ({_values(TURTLE_ROWS)}) v(s, p, o)",
     "rdfxml_triples": f"SELECT * FROM ({_values(RDFXML_ROWS)}) v(s, p, o)",
