@@ -86,15 +86,22 @@ def asked(text: str):
 
 
 def hierarchy(spark: SparkSession, d: str) -> DataFrame:
-    """customer and supplier to nation, nation to region, region to the world, and back from one region: a cycle."""
+    """supplier to nation, nation to region, region to the world; without a cycle, which CYCLE has."""
     read = lambda t: spark.read.parquet(f"{d}/{t}.parquet")
     e = lambda t, a, b, x, y: read(t).select(F.concat(F.lit(a), F.col(x).cast("string")).alias("s"), F.lit("up").alias("p"), F.concat(F.lit(b), F.col(y).cast("string")).alias("o"))
     world = read("region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("s"), F.lit("up").alias("p"), F.lit("world").alias("o"))
     return e("supplier", "s", "n", "s_suppkey", "s_nationkey").unionByName(e("nation", "n", "r", "n_nationkey", "n_regionkey")).unionByName(world)
 
 
+def whole_hierarchy(spark: SparkSession, d: str) -> DataFrame:
+    """hierarchy() and customer to nation."""
+    customers = spark.read.parquet(f"{d}/customer.parquet").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("s"), F.lit("up").alias("p"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("o"))
+    return hierarchy(spark, d).unionByName(customers)
+
+
 _H = """h AS (SELECT 's' || s_suppkey AS s, 'n' || s_nationkey AS o FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation
 UNION ALL SELECT 'r' || r_regionkey, 'world' FROM region)"""
+_WHOLE_H = _H.removesuffix(")") + " UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer)"
 CYCLE = [("a", "up", "b"), ("b", "up", "c"), ("c", "up", "a"), ("c", "up", "d")]
 _NATION = "e AS (SELECT 'n' || n_nationkey AS s, 'in' AS p, 'r' || n_regionkey AS o FROM nation)"
 
@@ -188,6 +195,8 @@ QUERIES = {
     "closure_transitive_cycle": lambda s, d: kb.transitive_closure(_frame(s, CYCLE, "s string, p string, o string")),
     "reachability": lambda s, d: kb.reach(hierarchy(s, d), _frame(s, [("s1",), ("n3",)], "url string")),
     "transitive_reduction": lambda s, d: kb.reduce_transitive(kb.transitive_closure(hierarchy(s, d))),
+    "closure_transitive_customers": lambda s, d: kb.transitive_closure(whole_hierarchy(s, d)),
+    "transitive_reduction_customers": lambda s, d: kb.reduce_transitive(kb.transitive_closure(whole_hierarchy(s, d))),
     "ambig_split": lambda s, d: kb.split(kb.collisions(kb.labels(kb.classify(triples(s), TRAITS))))[1].select("s", "o"),
     "ambig_merge": lambda s, d: kb.merge(kb.collisions(kb.labels(kb.classify(triples(s), TRAITS))), word_kb(s, "discard").edge)[0],
     "ambig_threshold": lambda s, d: kb.overlap(kb.collisions(kb.labels(kb.classify(triples(s), TRAITS))), word_kb(s, "discard").edge).select("label", F.col("fewest").cast("long").alias("fewest"), F.col("common").cast("long").alias("common")),
@@ -236,6 +245,8 @@ ORACLE_SQL = {
     "closure_transitive_cycle": _GROWN.format(h=f"h AS (SELECT s, o FROM ({_values(CYCLE)}) v(s, p, o))") + "SELECT s, 'up' AS p, o FROM c",
     "reachability": _GROWN.format(h=_H) + "SELECT DISTINCT o AS url FROM c WHERE s IN ('s1', 'n3') UNION SELECT 's1' UNION SELECT 'n3'",
     "transitive_reduction": f"WITH {_H} SELECT s, 'up' AS p, o FROM h",
+    "closure_transitive_customers": _GROWN.format(h=_WHOLE_H) + "SELECT s, 'up' AS p, o FROM c",
+    "transitive_reduction_customers": f"WITH {_WHOLE_H} SELECT s, 'up' AS p, o FROM h",
     "ambig_split": f"WITH {_T}, {_DICT} SELECT {_COMBINED} AS s, unnest(urls) AS o FROM amb",
     "ambig_merge": f"WITH {_T}, {_DICT} SELECT label, {_COMBINED} AS url FROM amb",
     "ambig_threshold": f"WITH {_T}, {_DICT} SELECT label, 1::BIGINT AS fewest, 0::BIGINT AS common FROM amb",
