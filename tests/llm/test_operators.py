@@ -315,8 +315,6 @@ def test_pii(spark):
     t = "mail a.b@c-d.org, ip 1.2.3.4 999.1.1.1 card 4111 1111 1111 1111 and 4111111111111112 phone +1 (555) 123-4567 x iban DE89370400440532013000 token = \"a1b2c3d4e5f6a7b8c9d0e1f2a3b4\" aé@b.co"
     kinds = [(k, t[a:b]) for k, a, b, _ in pii.find(t)]
     assert kinds == [("email", "a.b@c-d.org"), ("ip", "1.2.3.4"), ("card", "4111 1111 1111 1111"), ("phone", "+1 (555) 123-4567"), ("iban", "DE89370400440532013000"), ("secret", "a1b2c3d4e5f6a7b8c9d0e1f2a3b4")]
-    for x in (t, "a@b", "@@a@b.c@d.e", "a@b.c@d.e.", "@", "é@b.co a@é.b", "a" * 500 + "@b.c"):
-        assert list(pii._emails(x)) == [m.span() for m in pii._EMAIL.finditer(x)]
     assert pii.find(None) == [] and pii.luhn("4111111111111111") and not pii.mod97("DE88370400440532013000")
     assert [r.text for r in pii.redacted(frame(spark, ["x a@b.co y", None])).orderBy("doc_id").collect()] == ["x <EMAIL> y", None]
 
