@@ -1,11 +1,21 @@
-"""Postings: matched spans and what the knowledge base derives from them; the index as Parquet; profiles that keep less."""
+"""Postings: matched spans and what the knowledge base derives from them; the index as Parquet; profiles that keep less.
+
+An index is a folder of Parquet files, each a range of concepts in order, so that a query opens the files and row groups of its concepts alone. It
+grows by batches, and compact() makes one of them. In memory, an index is any DataFrame of ENTRY.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import pack_relation, unpack_relation
+from ..shared import written
 from .kb import SPLIT, Kb
+from .match import match
+from .resolve import Step, chain
 
 INDIRECT = "http://glossa.invalid/indirect"
 #: What each profile leaves out.
@@ -14,26 +24,59 @@ COLLAPSED = frozenset({"isize3", "isize4", "isize5"})
 ENTRY = ["concept_url", "path", "relation_url", "token", "begin", "end", "l", "ambiguous"]
 
 
-def _direct(spans: DataFrame, kb: Kb) -> DataFrame:
-    """path, begin, end, token, url, l: each span with its concept, or with each that it may be (l: its distance; -1 for an exact but ambiguous one)."""
+def candidates(spans: DataFrame, kb: Kb) -> DataFrame:
+    """doc, path, begin, end, token, url, l, whole, sure: each span of match() with each concept it may be.
+
+    An exact label of one concept is sure (l: 0). An ambiguous label gives its concept, or those it is split into (l: -1). A label within some edits gives its
+    concept at that distance (-1 for none); if that is split, whole is the split concept, and url one of its parts.
+    """
     d = kb.dictionary.select("label", "url", "ambiguous")
     parts = kb.edge.where(F.col("p") == SPLIT).select(F.col("s").alias("url"), F.col("o").alias("part"))
-    exact = spans.where("label is not null").select("path", "begin", "end", "token", "label", F.lit(0).cast("long").alias("l"))
-    fuzzy = spans.where("label is null and cands is not null").select("path", "begin", "end", "token", F.explode("cands").alias("c")).select("path", "begin", "end", "token", "c.label", F.when(F.col("c.l") == 0, -1).otherwise(F.col("c.l")).cast("long").alias("l"))
+    at = ["doc", "path", "begin", "end", "token"]
+    exact = spans.where("label is not null").select(*at, "label", F.lit(0).cast("long").alias("l"), F.lit(False).alias("fuzzy"))
+    fuzzy = spans.where("label is null and cands is not null").select(*at, F.explode("cands").alias("c")).select(*at, "c.label", F.when(F.col("c.l") == 0, -1).otherwise(F.col("c.l")).cast("long").alias("l"), F.lit(True).alias("fuzzy"))
     x = exact.unionByName(fuzzy).join(d, "label").join(parts, "url", "left")
     unsure = F.col("part").isNotNull() | F.col("ambiguous")
-    return x.select("path", "begin", "end", "token", F.coalesce("part", "url").alias("url"), F.when(unsure & (F.col("l") == 0), -1).otherwise(F.col("l")).cast("long").alias("l"))
+    whole = F.when(F.col("fuzzy") & F.col("part").isNotNull(), F.col("url"))
+    return x.select(*at, F.coalesce("part", "url").alias("url"), F.when(unsure & (F.col("l") == 0), -1).otherwise(F.col("l")).cast("long").alias("l"), whole.alias("whole"), (~F.col("fuzzy") & ~unsure).alias("sure"))
+
+
+def resolved(found: DataFrame, kb: Kb, resolvers: Sequence[Step]) -> DataFrame:
+    """Rows of candidates() after a chain of resolvers: a span that it settled has one sure row of the chosen concept, others are as they were."""
+    at = ["doc", "begin"]
+    found = written(found, "candidates")  # read twice, matched once
+    spans = found.groupBy(*at).agg(F.array_sort(F.collect_list("url")).alias("urls"), F.max("sure").alias("sure"))
+    chosen = chain(spans, kb, resolvers).where("url is not null").withColumnRenamed("url", "chosen")
+    x = found.join(chosen, at, "left")
+    rest = x.where("chosen is null").drop("chosen")
+    done = x.where("chosen is not null").groupBy(*at, "path", "end", "token", "chosen").agg(F.lit(0).cast("long").alias("l")).withColumnRenamed("chosen", "url")
+    return rest.unionByName(done.withColumn("whole", F.lit(None).cast("string")).withColumn("sure", F.lit(True)))
 
 
-def postings(spans: DataFrame, kb: Kb, mark_ambiguous: bool = False) -> DataFrame:
-    """A direct posting for each span and concept, and one for each edge of the concept, filed under the edge's object. Edges are joined, not walked:
-    closures are in them already. Spark broadcasts the edges if they are small."""
-    x = _direct(spans, kb)
+def fan_out(found: DataFrame, kb: Kb, mark_ambiguous: bool = False) -> DataFrame:
+    """Postings of candidates: a direct one for each, and one for each edge of its concept, filed under the edge's object. Edges are joined, not walked:
+    closures are in them already. Spark broadcasts the edges if they are small. A split concept that is itself one candidate of several is posted directly,
+    and its parts by its split edges."""
     amb = (F.col("l") != 0) if mark_ambiguous else F.lit(False)
-    own = x.select(F.col("url").alias("concept_url"), "path", F.lit("").alias("relation_url"), "token", "begin", "end", "l", amb.alias("ambiguous"))
+    entry = lambda url, relation: [url.alias("concept_url"), "path", relation.alias("relation_url"), "token", "begin", "end", "l", amb.alias("ambiguous")]
+    plain = found.where("whole is null")
+    own = plain.select(*entry(F.col("url"), F.lit("")))
     edges = kb.edge.where(F.col("p") != SPLIT).select(F.col("s").alias("url"), "p", "o")
-    far = x.join(edges, "url").select(F.col("o").alias("concept_url"), "path", F.col("p").alias("relation_url"), "token", "begin", "end", "l", amb.alias("ambiguous"))
-    return own.unionByName(far)
+    far = plain.join(edges, "url").select(*entry(F.col("o"), F.col("p")))
+    nested = found.where("whole is not null")
+    split = nested.select(*entry(F.col("whole"), F.lit("")), "doc").distinct().drop("doc")
+    return own.unionByName(far).unionByName(split).unionByName(nested.select(*entry(F.col("url"), F.lit(SPLIT))))
+
+
+def postings(spans: DataFrame, kb: Kb, mark_ambiguous: bool = False, resolvers: Sequence[Step] = ()) -> DataFrame:
+    """The postings of matched spans, after a chain of resolvers."""
+    found = candidates(spans, kb)
+    return fan_out(resolved(found, kb, resolvers) if resolvers else found, kb, mark_ambiguous)
+
+
+def entries(docs: DataFrame, kb: Kb, errors: tuple[int, ...] = (), resolvers: Sequence[Step] = (), mark_ambiguous: bool = False) -> DataFrame:
+    """The postings of docs (path, text): matched within the error limits, resolved, fanned out."""
+    return postings(match(docs, kb.dictionary, errors), kb, mark_ambiguous, resolvers)
 
 
 def profile(entries: DataFrame, name: str) -> DataFrame:
@@ -42,6 +85,56 @@ def profile(entries: DataFrame, name: str) -> DataFrame:
     return out.drop(*PROFILES[name])
 
 
-def write(entries: DataFrame, path: str, mode: str = "append") -> None:
-    """Ranges of concepts to files, sorted within, so that a concept's postings are found by row-group statistics."""
-    entries.repartitionByRange("concept_url", "path").sortWithinPartitions("concept_url", "path", "begin").write.mode(mode).parquet(path)
+def write(found: DataFrame, path: str, mode: str = "append") -> None:
+    """Ranges of concepts to files, sorted within, so that a concept's postings are found by the statistics of files and row groups. A concept of many postings
+    goes over several files, by path."""
+    found.repartitionByRange("concept_url", "path").sortWithinPartitions("concept_url", "path", "begin").write.mode(mode).parquet(path)
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """The entries of an index."""
+    return spark.read.parquet(path).select(*ENTRY)
+
+
+def compact(spark: SparkSession, path: str, into: str) -> None:
+    """One index of the batches of another."""
+    write(read(spark, path), into, "errorifexists")
+
+
+def register(urls: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """url, id: the distinct urls of a DataFrame (url), numbered from 1 in their order. With a register that is known, its numbers stay and new urls
+    follow. Numbers go in two levels, over ranges of urls and within them, so that no task sees them all."""
+    spark = urls.sparkSession
+    new = urls.select("url").where("url is not null").distinct()
+    first = 0
+    if known is not None:
+        new = new.join(known.select("url"), "url", "left_anti")
+        first = known.agg(F.max("id")).first()[0] or 0
+    ranged = written(new.repartitionByRange("url").select("url", F.spark_partition_id().alias("part")), "register")
+    sizes = {r.part: r.n for r in ranged.groupBy("part").agg(F.count("*").alias("n")).collect()}  # one row for each partition
+    before, starts = first, []
+    for part in sorted(sizes):
+        starts.append((part, before))
+        before += sizes[part]
+    offsets = spark.createDataFrame(starts or [(0, 0)], "part int, before long")
+    rank = F.row_number().over(Window.partitionBy("part").orderBy("url"))
+    out = ranged.join(F.broadcast(offsets), "part").select("url", (F.col("before") + rank).cast("long").alias("id"))
+    return out if known is None else known.select("url", "id").unionByName(out)
+
+
+def encode(found: DataFrame, relations: DataFrame, documents: DataFrame) -> DataFrame:
+    """concept_url, relation (packed id, distance and ambiguity; 0 for no relation), document, token, begin, end: entries by the ids of two registers."""
+    rel = relations.select(F.col("url").alias("relation_url"), F.col("id").cast("int").alias("rid"))
+    doc = documents.select(F.col("url").alias("path"), F.col("id").alias("document"))
+    x = found.join(rel, "relation_url", "left").join(doc, "path")
+    packed = pack_relation(F.coalesce("rid", F.lit(0)), F.col("l").cast("int"), F.col("ambiguous"), F.col("l") < 0)
+    return x.select("concept_url", packed.alias("relation"), "document", "token", "begin", "end")
+
+
+def decode(coded: DataFrame, relations: DataFrame, documents: DataFrame) -> DataFrame:
+    """Entries again."""
+    rid, l, ambiguous, flag = unpack_relation(F.col("relation"))  # noqa: E741
+    rel = relations.select(F.col("url").alias("relation_url"), F.col("id").alias("rid"))
+    doc = documents.select(F.col("url").alias("path"), F.col("id").alias("document"))
+    x = coded.withColumns({"rid": rid.cast("long"), "l": l.cast("long"), "ambiguous": ambiguous, "below": flag}).join(rel, "rid", "left").join(doc, "document")
+    return x.withColumn("relation_url", F.coalesce("relation_url", F.lit(""))).withColumn("l", F.when(F.col("below"), -1).otherwise(F.col("l")).cast("long")).select(*ENTRY)

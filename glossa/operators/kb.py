@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import combine_urls, expand_braces, normalise
+from ..functions.text import combine_urls, expand_braces, normalise, short_url
 from ..shared import written
-from ..sources.config import Traits
+from ..sources.config import KbConfig, Traits, triples
 
 #: Predicate of the edges from an ambiguous concept to the concepts it may be.
 SPLIT = "http://glossa.invalid/split"
@@ -66,7 +67,8 @@ def transitive_closure(e: DataFrame) -> DataFrame:
 
 
 def apply_traits(plain: DataFrame, traits: Traits) -> DataFrame:
-    """Edges with the closure of their predicate: transitive before symmetric before inverted; closures are not composed."""
+    """Edges with the closure of their predicate: transitive before symmetric before inverted; closures are not composed. Inverted edges take the place of
+    the original ones."""
     p = F.col("p")
     plain = plain.select("s", "p", "o").distinct()
     tr, sy, iv = _in(p, traits.transitive), _in(p, traits.symmetric), _in(p, traits.inverted)
@@ -76,8 +78,7 @@ def apply_traits(plain: DataFrame, traits: Traits) -> DataFrame:
     if traits.symmetric:
         out = out.unionByName(symmetric_closure(plain.where(sy & ~tr)))
     if traits.inverted:
-        own = plain.where(iv & ~tr & ~sy)
-        out = out.unionByName(own).unionByName(inverse(own))
+        out = out.unionByName(inverse(plain.where(iv & ~tr & ~sy)))
     return out.distinct()
 
 
@@ -130,6 +131,8 @@ def threshold(clashes: DataFrame, edge: DataFrame, t: float) -> tuple[DataFrame,
 
 
 def handle(clashes: DataFrame, edge: DataFrame, how: str | float) -> tuple[DataFrame, DataFrame]:
+    """How labels of several concepts are settled: split, merge, discard, fail, or a threshold from 0 to 1 between merge and split."""
+    how = how.lower() if isinstance(how, str) else how
     if how == "split":
         return split(clashes)
     if how == "merge":
@@ -146,20 +149,23 @@ def handle(clashes: DataFrame, edge: DataFrame, how: str | float) -> tuple[DataF
     return threshold(clashes, edge, float(how))
 
 
-def build(triples: DataFrame, traits: Traits, how: str | float = "split") -> Kb:
-    """All of the above. Labels of concepts without an edge are dropped, but not of those that a clash brings in."""
-    kinds = classify(triples, traits)
-    edge = apply_traits(kinds.where("kind = 'plain'"), traits).withColumn("l", F.lit(0))
+def build(statements: DataFrame, traits: Traits, how: str | float = "split") -> Kb:
+    """All of the above. Labels of concepts without an edge are dropped, but not of those that a clash brings in, which have their label as name. The tables are
+    written, so that what uses them reads them and builds nothing again."""
+    kinds = written(classify(statements, traits), "kinds")
+    edge = written(apply_traits(kinds.where("kind = 'plain'"), traits).withColumn("l", F.lit(0)), "edge")
     urls = edge.select(F.col("s").alias("url")).unionByName(edge.select(F.col("o").alias("url"))).distinct()
     names = kinds.where("kind = 'name'").groupBy(F.col("s").alias("url")).agg(F.max_by("o", "ord").alias("name"))
-    own = labels(kinds)
-    clashes = collisions(own)
+    own = written(labels(kinds), "labels")
+    clashes = written(collisions(own), "clashes")
     found, more = handle(clashes, edge, how)
+    found, more = written(found, "found"), written(more, "found-edges")
     single = own.join(clashes.select("label"), "label", "left_anti").join(urls, "url", "left_semi")
     dictionary = single.select("label", "url", "ambiguous").unionByName(found.withColumn("ambiguous", F.lit(False)))
-    concept = urls.unionByName(found.select("url")).unionByName(more.select(F.col("o").alias("url"))).distinct().join(names, "url", "left")
+    named = names.unionByName(found.join(names, "url", "left_anti").groupBy("url").agg(F.min("label").alias("name")))
+    concept = urls.unionByName(found.select("url")).unionByName(more.select(F.col("o").alias("url"))).distinct().join(named, "url", "left")
     rules = kinds.where("kind = 'rule'").groupBy(F.col("s").alias("url")).agg(F.max_by("o", "ord").alias("expr"))
-    return Kb(concept, edge.unionByName(more), dictionary, rules)
+    return Kb(written(concept, "concept"), edge.unionByName(more), written(dictionary, "dictionary"), written(rules, "rules"))
 
 
 def reach(edge: DataFrame, start: DataFrame) -> DataFrame:
@@ -173,15 +179,118 @@ def reach(edge: DataFrame, start: DataFrame) -> DataFrame:
 
 
 def reduce_transitive(edge: DataFrame) -> DataFrame:
-    """Edges without those that two others of the same predicate stand for. Exact on closed, acyclic input."""
+    """Edges without those that two others of the same predicate stand for, of which the first leads elsewhere. Exact on closed, acyclic input."""
     e = edge.select("s", "p", "o").distinct()
-    long = e.alias("a").join(e.alias("b"), (F.col("a.o") == F.col("b.s")) & (F.col("a.p") == F.col("b.p"))).select("a.s", "a.p", "b.o").distinct()
+    over = (F.col("a.o") == F.col("b.s")) & (F.col("a.p") == F.col("b.p")) & (F.col("a.o") != F.col("b.o"))
+    long = e.alias("a").join(e.alias("b"), over).select("a.s", "a.p", "b.o").distinct()
     return e.join(long, ["s", "p", "o"], "left_anti")
 
 
-def dot_lines(concept: DataFrame, edge: DataFrame) -> DataFrame:
-    """line: the statements of a Graphviz digraph, one for each concept and each edge."""
-    quoted = lambda c: F.concat(F.lit('"'), F.regexp_replace(c, '"', r'\\\\"'), F.lit('"'))
-    last = lambda c: F.substring_index(c, "/", -1)
-    nodes = concept.select(F.concat(quoted(F.col("url")), F.lit(" [label="), quoted(F.coalesce("name", last(F.col("url")))), F.lit("]")).alias("line"))
-    return nodes.unionByName(edge.select(F.concat(quoted(F.col("s")), F.lit(" -> "), quoted(F.col("o")), F.lit(" [label="), quoted(last(F.col("p"))), F.lit("]")).alias("line")))
+def neighbourhood(edge: DataFrame, start: DataFrame) -> DataFrame:
+    """url: the concepts of start (url) and all that chains of edges lead to, by their objects and by their predicates, which may be concepts with edges
+    of their own."""
+    ways = edge.select("s", F.explode(F.array("p", "o")).alias("o"))
+    return reach(ways, start)
+
+
+def ambiguous(edge: DataFrame) -> DataFrame:
+    """url: concepts that stand for several others."""
+    return edge.where(F.col("p") == SPLIT).select(F.col("s").alias("url")).distinct()
+
+
+def links(edge: DataFrame, s: str, o: str, p: str | None = None) -> DataFrame:
+    """The edges from s to o, of the predicate p or of any."""
+    found = (F.col("s") == s) & (F.col("o") == o)
+    return edge.where(found if p is None else found & (F.col("p") == p))
+
+
+def short_name(concept: DataFrame) -> Column:
+    """The name of a concept (url, name), or the last part of its url."""
+    return F.coalesce(F.when(F.col("name") != "", F.col("name")), short_url(F.col("url")))
+
+
+def concept_json(kb: Kb) -> DataFrame:
+    """url, json: each concept with its edges, of which predicates and objects are given by url and name."""
+    named = lambda end: kb.concept.select(F.col("url").alias(end), F.coalesce("name", F.lit("")).alias(f"{end}_name"))
+    link = lambda end: F.struct(F.col(end).alias("URL"), F.coalesce(f"{end}_name", F.lit("")).alias("Name"))
+    e = kb.edge.join(named("p"), "p", "left").join(named("o"), "o", "left")
+    e = e.groupBy(F.col("s").alias("url")).agg(F.array_sort(F.collect_list(F.struct(link("p").alias("P"), link("o").alias("O"), F.col("l").alias("L")))).alias("edges"), F.max(F.col("p") == SPLIT).alias("split"))
+    none = F.array().cast("array<struct<P: struct<URL: string, Name: string>, O: struct<URL: string, Name: string>, L: int>>")
+    whole = F.struct(F.col("url").alias("URL"), F.coalesce("name", F.lit("")).alias("Name"), F.coalesce("edges", none).alias("Edges"), F.coalesce("split", F.lit(False)).alias("Ambiguous"))
+    return kb.concept.join(e, "url", "left").select("url", F.to_json(whole).alias("json"))
+
+
+def _quoted(c: Column) -> Column:
+    """A string of the DOT language, with a line feed as its escape."""
+    return F.concat(F.lit('"'), F.replace(F.replace(c, F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n")), F.lit('"'))
+
+
+def wrapped(name: Column) -> Column:
+    """A label of more than ten bytes is broken at its first space from the middle on, counted in bytes."""
+    data = F.encode(name, "UTF-8")
+    half = F.floor(F.octet_length(name) / 2).cast("int")
+    tail = F.substring(data, half + 1, F.lit(1 << 30))
+    # in hexadecimal, a space of the tail stands at an even place
+    at = F.instr(F.regexp_replace(F.hex(tail), "(..)", "$1 "), "20 ")
+    cut = half + F.floor((at - 1) / 3).cast("int")
+    broken = F.concat(F.decode(F.substring(data, F.lit(1), cut), "UTF-8"), F.lit("\n"), F.decode(F.substring(data, cut + 2, F.lit(1 << 30)), "UTF-8"))
+    return F.when((F.octet_length(name) > 10) & (at > 0), broken).otherwise(name)
+
+
+def _attributes(attributes: dict[str, Column]) -> Column:
+    return F.concat(F.lit(" ["), F.concat_ws(" ", *(F.concat(F.lit(f"{k}="), _quoted(v)) for k, v in attributes.items())), F.lit("]"))
+
+
+def dot_lines(concept: DataFrame, edge: DataFrame, node: dict[str, Column] | None = None, link: dict[str, Column] | None = None) -> DataFrame:
+    """line: the statements of a Graphviz digraph, one for each concept and each edge. node, link: their attributes, as columns of concept (url, name) and
+    of edge (s, p, o); by default a label."""
+    node = node or {"label": F.coalesce("name", short_url(F.col("url")))}
+    link = link or {"label": short_url(F.col("p"))}
+    nodes = concept.select(F.concat(_quoted(F.col("url")), _attributes(node)).alias("line"))
+    return nodes.unionByName(edge.select(F.concat(_quoted(F.col("s")), F.lit(" -> "), _quoted(F.col("o")), _attributes(link)).alias("line")))
+
+
+def graph_lines(kb: Kb, url: str) -> DataFrame:
+    """line: the graph of a concept, with all it leads to, without edges that others stand for, and with long labels broken. The concept itself is filled."""
+    near = reach(kb.edge, kb.concept.where(F.col("url") == url).select("url"))
+    edge = reduce_transitive(kb.edge.join(near.select(F.col("url").alias("s")), "s", "left_semi"))
+    concept = near.join(kb.concept, "url", "left").select("url", "name")
+    names = kb.concept.select(F.col("url").alias("p"), F.col("name").alias("p_name"))
+    edge = edge.join(names, "p", "left").withColumn("label", wrapped(F.coalesce(F.when(F.col("p_name") != "", F.col("p_name")), short_url(F.col("p")))))
+    own = F.when(F.col("url") == url, F.lit("filled")).otherwise(F.lit(""))
+    return dot_lines(concept, edge, {"label": wrapped(short_name(concept)), "shape": F.lit("box"), "style": own}, {"label": F.col("label")})
+
+
+def dot(lines: DataFrame, name: str = "g", **settings: str) -> str:
+    """The digraph of these lines, as text for Graphviz. A graph to be drawn is small, so its lines are collected."""
+    body = [f'{k}="{v}"' for k, v in settings.items()] + sorted(r.line for r in lines.select("line").collect())
+    return "\n".join([f'digraph "{name}" {{', *body, "}"])
+
+
+PARTS = ("concept", "edge", "dictionary", "rules")
+
+
+def save(kb: Kb, path: str) -> None:
+    """Each table as Parquet under the path; what is there is replaced."""
+    for part in PARTS:
+        getattr(kb, part).write.mode("overwrite").parquet(f"{path}/{part}")
+
+
+def load(spark: SparkSession, path: str) -> Kb:
+    return Kb(*(spark.read.parquet(f"{path}/{part}") for part in PARTS))
+
+
+def from_config(spark: SparkSession, config: KbConfig, use_cache: bool = True) -> Kb:
+    """The knowledge base that a configuration names. With a cache, it is read where it is there and whole, else written and then read; with
+    use_cache False neither."""
+    cached = use_cache and config.cache
+    if cached:
+        try:
+            return load(spark, config.cache)
+        except AnalysisException:  # not there, or not whole
+            pass
+    made = build(triples(spark, config.path, config.type), config.traits, config.ambigs)
+    if not cached:
+        return made
+    save(made, config.cache)
+    return load(spark, config.cache)

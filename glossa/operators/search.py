@@ -2,21 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import byte_slice, normalise
-from .kb import Kb
+from ..plans.rules import Memory, compile_rules
+from .kb import SPLIT, Kb
+
+
+def _most(found: DataFrame, n: int) -> DataFrame:
+    """At most n by url, all if negative."""
+    return found if n < 0 else found.orderBy("url").limit(n)
 
 
-def predicates(kb: Kb, q: str) -> DataFrame:
+def predicates(kb: Kb, q: str, n: int = -1) -> DataFrame:
     """url: concepts with an edge whose predicate contains q."""
-    return kb.edge.where(F.col("p").contains(q)).select(F.col("s").alias("url")).distinct()
+    return _most(kb.edge.where(F.col("p").contains(q)).select(F.col("s").alias("url")).distinct(), n)
 
 
-def parents(kb: Kb, url: str) -> DataFrame:
+def parents(kb: Kb, url: str, n: int = -1) -> DataFrame:
     """url: concepts with an edge to this one."""
-    return kb.edge.where(F.col("o") == url).select(F.col("s").alias("url")).distinct()
+    return _most(kb.edge.where(F.col("o") == url).select(F.col("s").alias("url")).distinct(), n)
+
+
+def find(kb: Kb, url: str = "", number: int = 0, numbers: DataFrame | None = None) -> DataFrame:
+    """url, name: the concept of a number in a register (url, id), as far as one is given and known; else the concept of that url. A negative number means
+    its concept, taken as ambiguous."""
+    if number and numbers is not None:
+        named = numbers.where(F.col("id") == abs(number)).select("url").first()
+        url = named.url if named else url
+    return kb.concept.where(F.col("url") == url).select("url", "name")
 
 
 def dictionary_entries(kb: Kb, url: str) -> DataFrame:
@@ -31,21 +48,52 @@ def info(kb: Kb, url: str) -> DataFrame:
 
 def concepts(kb: Kb, q: str, n: int = -1) -> DataFrame:
     """url, how: the concept of that url; else that of that label; else all whose url, name or label contains q. At most n by url, all if negative."""
-    label = q and kb.concept.sparkSession.range(1).select(normalise(F.lit(q), False).alias("x")).first().x
-    url = kb.concept.select("url", F.when(F.col("url") == q, 1).when(F.col("url").contains(q) | F.col("name").contains(label), 3).alias("how"))
-    names = kb.dictionary.select("url", F.when(F.col("label") == label, 2).when(F.col("label").contains(label), 3).alias("how"))
+    return _most(lookup(kb, [q]).select("url", F.col("how").cast("long").alias("how")), n)
+
+
+def lookup(kb: Kb, queries: list[str]) -> DataFrame:
+    """q, url, how: concepts() of each of some queries, in one pass over the knowledge base. how: 1 by url, 2 by label, 3 by a part of url, name or label.
+    Queries are few, as they are typed or named in rules, and are compared in the scan, without a join."""
+    asked = F.array(*(F.struct(F.lit(q).alias("q"), normalise(F.lit(q), False).alias("label")) for q in sorted(set(queries))))
+
+    def found(rows: DataFrame, how: Callable[[Column], Column]) -> DataFrame:
+        hits = F.filter(F.transform(asked, lambda a: F.struct(a["q"].alias("q"), how(a).alias("how"))), lambda x: x["how"].isNotNull())
+        return rows.select("url", F.explode(hits).alias("x")).select("x.q", "url", "x.how")
+
+    by_url = found(kb.concept, lambda a: F.when(F.col("url") == a["q"], 1).when(F.col("url").contains(a["q"]) | F.col("name").contains(a["label"]), 3))
+    by_label = found(kb.dictionary, lambda a: F.when(F.col("label") == a["label"], 2).when(F.col("label").contains(a["label"]), 3))
     # one row for each concept: its best way of being found; then the best of all
-    found = url.unionByName(names).where("how is not null").groupBy("url").agg(F.min("how").alias("how"))
-    best = found.agg(F.min("how").alias("best"))
-    out = found.join(F.broadcast(best), F.col("how") == F.col("best")).select("url", F.col("how").cast("long").alias("how"))
-    return out if n < 0 else out.orderBy("url").limit(n)
-
-
-def context(spans: DataFrame, docs: DataFrame, n: int, as_hex: bool = False) -> DataFrame:
-    """path, begin, before, token, after: n bytes on both sides of a span in the normalised text (path, text). as_hex: before and after in
-    hexadecimal, for windows that cut a character."""
-    part = (lambda t, a, b: F.hex(F.substring(F.encode(t, "UTF-8"), (a + 1).cast("int"), (b - a).cast("int")))) if as_hex else byte_slice
-    text = docs.select(F.col("path").cast("string").alias("path"), normalise(F.col("text")).alias("text"))
-    x = spans.join(text, "path").where((F.col("begin") >= 0) & (F.col("begin") <= F.col("end")) & (F.col("end") < F.octet_length("text")))
-    low, high = F.greatest(F.lit(0), F.col("begin") - n), F.least(F.octet_length("text").cast("long"), F.col("end") + n)
-    return x.select("path", "begin", part(F.col("text"), low, F.col("begin")).alias("before"), byte_slice(F.col("text"), F.col("begin"), F.col("end")).alias("token"), part(F.col("text"), F.col("end"), high).alias("after"))
+    every = by_url.unionByName(by_label).groupBy("q", "url").agg(F.min("how").alias("how"))
+    best = every.groupBy("q").agg(F.min("how").alias("how"))  # one row for each query
+    return every.join(F.broadcast(best), ["q", "how"]).select("q", "url", "how")
+
+
+def urls_of(kb: Kb, queries: list[str]) -> dict[str, list[str]]:
+    """For each query the urls it stands for: the first concept that it finds, by url; of a split concept, those it is split into. Queries that find
+    nothing are left out."""
+    first = lookup(kb, queries).groupBy("q").agg(F.min("url").alias("url"))
+    parts = kb.edge.where(F.col("p") == SPLIT).select(F.col("s").alias("url"), F.col("o").alias("part"))
+    rows = first.join(parts, "url", "left").groupBy("q").agg(F.array_sort(F.collect_set(F.coalesce("part", "url"))).alias("urls")).collect()
+    return {r.q: list(r.urls) for r in rows}
+
+
+def compiled_rules(kb: Kb) -> dict[str, Callable[[Memory], float]]:
+    """url -> rule of the knowledge base, compiled. A name in a rule must mean one concept; otherwise, and where a rule does not compile, this is an error."""
+    return compile_rules({r.url: r.expr for r in kb.rules.collect()}, lambda names: known_names(kb, names))
+
+
+def known_names(kb: Kb, names: list[str]) -> dict[str, str]:
+    """name -> url, for those names that find exactly one concept."""
+    rows = lookup(kb, names).groupBy("q").agg(F.count("*").alias("n"), F.min("url").alias("url")).where("n = 1").collect() if names else []
+    return {r.q: r.url for r in rows}
+
+
+def in_context(docs: DataFrame, begin: int, end: int, n: int) -> DataFrame:
+    """path, before, match, after: the bytes from begin to end of the normalised texts of docs (path, text), and n on both sides. A place outside of a text is
+    an error."""
+    text = normalise(F.col("text"))
+    size = F.octet_length("text")
+    x = docs.select(F.col("path").cast("string").alias("path"), text.alias("text"))
+    x = x.withColumn("text", F.when(F.lit(begin < 0 or end < begin) | (F.lit(end) >= size), F.raise_error(F.lit(f"no place {begin} to {end}"))).otherwise(F.col("text")))
+    cut = lambda a, b: byte_slice(F.col("text"), F.lit(a), b)
+    return x.select("path", cut(max(0, begin - n), F.lit(begin)).alias("before"), cut(begin, F.lit(end)).alias("match"), cut(end, F.least(size, F.lit(end + n))).alias("after"))

@@ -14,6 +14,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.kb import Kb
+from ..operators.search import urls_of
+
 
 class QueryError(ValueError):
     pass
@@ -134,6 +137,33 @@ def resolved(query: Query, lookup: Callable[[str], list[str]]) -> Query:
     return Query(urls(query.concepts), urls(query.relations), query.negated, query.every, query.distance, query.ambiguous)
 
 
+def compiled(text: str, kb: Kb, strict: bool = False) -> Query:
+    """A query whose names are urls of the knowledge base: the concept of that url or label, else the first whose url, name or label has the name in it; of a split
+    concept those it is split into. strict: names are urls already."""
+    query = parse(text)
+    if strict:
+        return query
+    found = urls_of(kb, [*query.concepts, *query.relations])
+    return resolved(query, lambda name: found.get(name, []))
+
+
+def get(entries: DataFrame, kb: Kb, text: str, most: int = 0, skip: int = 0, strict: bool = False) -> DataFrame:
+    """The entries that a query finds; with `most` or `skip` a page of them."""
+    found = compiled(text, kb, strict).run(entries)
+    return page(found, skip, most) if most or skip else found
+
+
+def written(concepts: str, relations: str = "", ambiguous: bool = False) -> str:
+    """A query of what people type: names between commas, quoted unless they are a star; a relation after an exclamation mark is one to leave out."""
+
+    def quoted(names: str) -> str:
+        parts = [x for x in re.split(r"\s*,\s*", names) if x]
+        return names if names == "*" else ",".join(f'!"{x[1:]}"' if x[0] == "!" else f'"{x}"' for x in parts)
+
+    head = "?*" if ambiguous else "?"
+    return f"{head}({quoted(relations)}({quoted(concepts)}))" if relations else f"{head}({quoted(concepts)})"
+
+
 def page(entries: DataFrame, skip: int = 0, most: int = 0) -> DataFrame:
     """Entries in a fixed order, from one on, at most so many (0: all)."""
     out = entries.orderBy("path", "begin", "end", "concept_url", "relation_url", "l").offset(skip)

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field, fields
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shared import read_text
 from . import rdfxml, turtle
 
 TRIPLES = "s string, p string, o string, ord long"
@@ -36,10 +37,15 @@ class KbConfig:
     traits: Traits = field(default_factory=Traits)
 
 
-def read_config(path: str) -> KbConfig:
-    """Read a configuration; environment variables in paths are expanded. `rules` is another name for `rule`."""
-    with open(path, "rb") as f:
-        raw = {k.lower(): {a.lower(): b for a, b in v.items()} for k, v in tomllib.load(f).items()}
+def read_config(path: str, spark: SparkSession | None = None) -> KbConfig:
+    """Read a configuration: a local file, or with a session any that Spark can read. Environment variables in paths are expanded. `rules` is another name
+    for `rule`."""
+    if spark is None:
+        with open(path, encoding="utf-8") as f:
+            text = f.read()
+    else:
+        text = read_text(spark, path)
+    raw = {k.lower(): {a.lower(): b for a, b in v.items()} for k, v in tomllib.loads(text).items()}
     file, said = raw.get("file", {}), dict(raw.get("predicates", {}))
     said.setdefault("rule", said.get("rules", []))
     traits = Traits(**{f.name: frozenset(said.get(f.name, [])) for f in fields(Traits)})
