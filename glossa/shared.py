@@ -60,6 +60,13 @@ def _path(spark: SparkSession, path: str):
     return made.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), made
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with the scheme of the file system that Spark takes it to be in."""
+    fs, made = _path(spark, path)
+    uri = fs.makeQualified(made).toString()
+    return "file://" + uri.removeprefix("file:") if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder, by the file system that Spark takes it to be in."""
     fs, made = _path(spark, path)
