@@ -2,48 +2,24 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import folder, qualified, remove
+
 #: The six white-space characters of the word pattern [^\x20\x09-\x0D]+.
 BLANKS = " \t\n\x0b\f\r"
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if "dir" not in _own:
-        _own["dir"] = tempfile.mkdtemp(prefix="glossa-shared-")
-        spark.sparkContext.setCheckpointDir(_own["dir"])
-    return _own["dir"]
-
-
-def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
-    """The Arrow filesystem of a path or URI, and the path within it."""
-    return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one; it is deleted when the Python process ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(remove, path)
-    return path
+    """A new folder in the shared one, as a whole URI, so that Spark and Arrow take it to be in the same file system. It is deleted when the Python process ends."""
+    return qualified(spark, folder(spark, name))
 
 
-def remove(path: str) -> None:
-    try:
-        fs, inner = filesystem(path)
-        fs.delete_dir(inner)
-    except (OSError, ValueError):  # already gone, or a store that Arrow cannot reach
-        pass
+def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The Arrow filesystem of a URI of new_folder(), and the path within it."""
+    return pafs.FileSystem.from_uri(uri)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -51,7 +27,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table = path
+    return out
+
+
+def done(*tables: DataFrame) -> None:
+    """Delete tables of cut() that nothing will read any more: what was made from them is written."""
+    for t in tables:
+        remove(t.sparkSession, t._table)
 
 
 def words(text: Column) -> Column:

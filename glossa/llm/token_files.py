@@ -4,7 +4,7 @@ A file is a sequence of zstandard frames, each holding the ids of some whole doc
 skippable frame with an entry for every frame: compressed size, decompressed size and the low 32 bits of the XXH64 of what it decompresses
 to. The last nine bytes give the number of frames, a descriptor and a magic number. Readers take the table from the end of the file, find
 the frame by the running sum of the decompressed sizes, and decompress only that one. Documents are in ascending order of doc_id (nulls
-first, equal ids by text), and each frame ends at the end of a document.
+first, equal ids by a hash of their text, then by text), and each frame ends at the end of a document.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import qualified
 from .common import cut, filesystem, new_folder
 from .tokens import default_path, encoder
 
@@ -133,9 +134,11 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, level: int
             out.close()
             fs.move(f"{inner}/.{name}", f"{inner}/{name}")
 
+    folder = qualified(docs.sparkSession, folder)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.withColumn("hash", F.xxhash64("text"))  # spreads rows of one doc_id, or of none
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(n, F.asc("doc_id")).sortWithinPartitions(F.asc("doc_id"), F.asc("text"))
+    ranged = rows.repartitionByRange(n, F.asc("doc_id"), F.asc("hash")).sortWithinPartitions(F.asc("doc_id"), F.asc("hash"), F.asc("text")).drop("hash")
     # the index is written before anything is read, so that all files exist and each is named by the attempt that counts
     return cut(ranged.mapInArrow(task, "file string, part int, doc_id long, at long, size long"), "token-index")
 
@@ -156,6 +159,7 @@ def _documents(batches: Iterator[pa.RecordBatch], folder: str, rows: int = 500)
 
 def read(index: DataFrame, folder: str) -> DataFrame:
     """Read documents back by the index: its columns and ids (binary, little-endian unsigned 32-bit integers)."""
+    folder = qualified(index.sparkSession, folder)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, got in _documents(batches, folder):
@@ -175,6 +179,7 @@ def starts(index: DataFrame) -> DataFrame:
 
 def digest(index: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, all but start from the ids that the files give back."""
+    folder = qualified(index.sparkSession, folder)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, got in _documents(batches, folder):

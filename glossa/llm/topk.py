@@ -23,7 +23,8 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, filesystem, new_folder
+from ..shared import remove
+from .common import cut, done, filesystem, new_folder
 
 K, EVERY, SCALE = 5, 50, 256
 #: Rows scored at once, queries in a block, bins, bytes of vectors that a task holds.
@@ -188,12 +189,13 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     span = int(min(float(sums or 0) * float(largest or 0) * (1 + 1e-9) + 1, 2.0**63))
     span = min(span, MOST)
     state = asked.select("q", "id", "v", F.lit(-span).cast("long").alias("low"), F.lit(span).cast("long").alias("last"), F.lit(k).cast("long").alias("left"))
-    width = 2 * span + 1
+    first, width = state, 2 * span + 1
     while True:
         folder = new_folder(spark, "query-blocks")
         _pack_queries(state, folder)
         if width <= 1:
             break
+        last_state = state
         width = (width - 1) // BINS + 1
         counts = data.mapInArrow(_histogram(folder, k), "q long, bin long, n long").groupBy("q", "bin").agg(F.sum("n").alias("n"))
         down = F.sum("n").over(Window.partitionBy("q").orderBy(F.desc("bin")))
@@ -205,6 +207,9 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         state = state.join(found, "q", "left").withColumn("wide", wide).withColumn("low", low)
         last = F.least(F.col("last").cast("decimal(38,0)"), F.col("low").cast("decimal(38,0)") + F.col("wide") - 1).cast("long")
         state = cut(state.select("q", "id", "v", "low", last.alias("last"), (F.col("left") - F.coalesce(F.col("above"), F.lit(0))).alias("left")), "query-state")
+        remove(spark, folder)
+        if last_state is not first:
+            done(last_state)
     best = data.mapInArrow(_above(folder, k), "q long, query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
