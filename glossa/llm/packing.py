@@ -1,9 +1,9 @@
 """Best-fit packing of documents into token sequences, certified by dual-feasible functions.
 
 Documents become pieces of at most `most` tokens. Pieces are dealt to partitions; each packs its own by best-fit decreasing and compares
-the number of sequences with a lower bound from dual-feasible functions. Partitions above their bound, and the loose ends of the others,
-give back the sequences that are not full; the pieces in them are dealt anew to fewer partitions, together with those of other partitions,
-and packed again, round after round. A round keeps a new packing only where it opens fewer sequences.
+the number of sequences with a lower bound from dual-feasible functions. A partition at its bound is certified and final, and so is every full sequence. Partitions
+with a gap exchange their other sequences: whole sequences are dealt anew, so that each group holds some of many partitions, and a group packs their pieces again, by
+best-fit decreasing and by filling gaps exactly. A new packing is kept where it needs fewer sequences than the group had; so no round makes more of them.
 """
 
 from __future__ import annotations
@@ -22,7 +22,10 @@ from .tokens import default_path, encoder, forget
 from .token_files import END
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PACKED = f"{PIECE}, sequence_id long, offset long, full boolean"
+PLACED = f"{PIECE}, sequence_id long, offset long"
+PACKED = f"{PLACED}, group_count long, group_bound long, certified boolean"
+#: Rounds of exchange at most; a round that gains nothing is the last one anyway.
+ROUNDS = 4
 
 
 def pieces(docs: DataFrame, most: int = 2048, tokenizer: str | None = None, release: bool = False) -> DataFrame:
@@ -102,53 +105,110 @@ def best_fit(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np
     return seq, off, held
 
 
-def _pack(most: int, tier: int, keep_all: bool):
+def gap_fit(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As best_fit(), but sequence by sequence: the longest piece that is left, then what fills the gap exactly, one piece or two, else the longest piece that fits, and
+    so on."""
+    order = np.argsort(-lengths, kind="stable")
+    sizes = lengths[order]
+    count = np.bincount(sizes, minlength=most + 1)
+    first = np.concatenate([[0], np.cumsum(count[::-1])])[::-1][1:]  # where pieces of each length begin in order
+    left = count.copy()
+    seq, off = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
+    held: list[int] = []
+    top = most
+    for _ in range(len(lengths)):
+        while top and not left[top]:
+            top -= 1
+        if not top:
+            break
+        room, taken = most, [top]
+        while taken:
+            for x in taken:
+                i = order[first[x] + count[x] - left[x]]
+                left[x] -= 1
+                seq[i], off[i] = len(held), most - room
+                room -= x
+            there = left[: room + 1] > 0
+            fits = np.flatnonzero(there)
+            if not len(fits):
+                break
+            if there[room]:
+                taken = [room]
+                continue
+            pairs = fits[(2 * fits >= room)]
+            pairs = pairs[there[room - pairs]]
+            pairs = pairs[(2 * pairs != room) | (left[pairs] > 1)]
+            taken = [int(pairs[-1]), room - int(pairs[-1])] if len(pairs) else [int(fits[-1])]
+        held.append(most - room)
+    return seq, off, np.array(held, np.int64)
+
+
+_COLUMNS = [c.split()[0] for c in PLACED.split(", ")]
+
+
+def _pack(most: int, tier: int):
+    """One round's work in a task. From the second round on, sequence_id and offset are those of the round before."""
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [x for x in batches if x.num_rows]
         if not held:
             return
-        table = pa.Table.from_batches(held)
-        table = table.select(["doc_id", "piece", "start", "length", "ids_crc32"]).sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+        table = pa.Table.from_batches(held).sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
         lengths = table["length"].to_numpy()
+        bound = lower_bound(lengths, most)
         seq, off, size = best_fit(lengths, most)
-        # at its bound and with no room worth sharing: nothing to gain from an exchange
-        certified = len(size) == lower_bound(lengths, most) and int(len(size) * most - size.sum()) < most // 64
-        full = (size == most) | certified | keep_all
         base = (tier << 58) | (TaskContext.get().partitionId() << 34)
-        for x in table.append_column("sequence_id", pa.array(seq + base)).append_column("offset", pa.array(off)).append_column("full", pa.array(full[seq])).to_batches(50_000):
-            yield x
+        if len(size) > bound:
+            other = gap_fit(lengths, most)
+            if len(other[2]) < len(size):
+                seq, off, size = other
+        if tier:
+            names, place = np.unique(table["sequence_id"].to_numpy(), return_inverse=True)
+            if len(size) >= len(names):  # as it was
+                seq, off, size = place, table["offset"].to_numpy(), np.bincount(place, lengths).astype(np.int64)
+                base = names
+        final = (size == most) | (len(size) == bound)
+        ids = base[seq] if isinstance(base, np.ndarray) else seq + base
+        n = len(lengths)
+        more = {"sequence_id": ids, "offset": off, "group_count": np.full(n, len(size)), "group_bound": np.full(n, bound), "certified": final[seq]}
+        out = table.select(_COLUMNS[:5])
+        for name, x in more.items():
+            out = out.append_column(name, pa.array(x))
+        yield from out.to_batches(50_000)
 
     return task
 
 
 def pack(pieces: DataFrame, most: int = 2048, per_task: int = 100_000) -> DataFrame:
-    """The pieces with sequence_id and offset. No pieces give no rows; a piece longer than `most` is an error.
+    """The pieces with sequence_id and offset, and the certificate of each: how many sequences its group had when it was packed last, the lower bound for them, and
+    whether its own is proven to be one that cannot be spared (its group is at the bound, or it is full). No pieces give no rows; a piece longer than `most` is an error.
 
-    per_task bounds the pieces a task packs. It sets the number of partitions, and drops nothing: every round deals what is left to as many
-    partitions as that bound asks for, and rounds end when that number no longer falls by half.
+    per_task bounds the pieces a task packs, about. It sets the number of partitions, and drops nothing: every round deals what is not certified to as many
+    partitions as that bound asks for.
     """
-    rest = pieces
+    rest = pieces.select(*_COLUMNS[:5])
     n = pieces.count()
-    done: list[DataFrame] = []
-    for tier in range(16):
+    finished: list[DataFrame] = []
+    before = None
+    for tier in range(ROUNDS + 1):
         parts = max(1, -(-n // per_task))
-        last = parts == 1 and tier > 0 or tier == 15
-        dealt = rest.repartition(parts)  # in turn, so that repeated rows spread too
-        packed = cut(dealt.mapInArrow(_pack(most, tier, last), PACKED), "packed")
-        done.append(packed.where("full") if not last else packed)
-        if last:
-            break
-        rest = packed.where("not full").drop("full")
-        left = rest.count()
-        if left > n // 2 and tier > 1:  # what is left fits poorly wherever it goes
-            done.append(rest.withColumn("full", F.lit(False)))
+        # pieces in turn, so that repeated rows spread too; then whole sequences, by the round as well, so that groups differ
+        dealt = rest.repartition(parts) if not tier else rest.select(*_COLUMNS).repartition(parts, F.xxhash64("sequence_id", F.lit(tier)))
+        packed = cut(dealt.mapInArrow(_pack(most, tier), PACKED), "packed")
+        rest = packed.where("not certified")
+        n, now = rest.agg(F.count("*"), F.count_distinct("sequence_id")).first()
+        full = packed.where("certified").agg(F.count_distinct("sequence_id")).first()[0]
+        over = tier == ROUNDS or not n or tier and (parts == 1 or before == now + full)
+        finished.append(packed if over else packed.where("certified"))
+        if over:
             break
-        n = left
-    out = done[0]
-    for x in done[1:]:
+        before = now
+    out = finished[0]
+    for x in finished[1:]:
         out = out.unionByName(x)
-    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return out
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places, and the certificate of each."""
     return pack(cut(pieces(spark.read.parquet(f"{sf_dir}/documents.parquet")), "pieces"))
