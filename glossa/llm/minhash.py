@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, done
 from .tokens import forget
 from .hashing import GOLDEN, M1, U, mix, multisets, times
 
@@ -114,31 +114,46 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def _compare(shingle: int):
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, tuple] = {}
-
-        def bag(key: bytes, text: bytes) -> tuple:
-            if key not in held:
-                if len(held) > 50:
-                    held.clear()
-                held[key] = multisets([text], shingle)[1:]
-            return held[key]
+    """(a, b, similarity), from rows of which each hub's own (without b) comes before those of its members."""
 
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, bag = None, None
         for batch in batches:
-            a, b, ta, tb = (batch.column(c) for c in ("a", "b", "text_a", "text_b"))
-            out = []
-            for k in range(batch.num_rows):
-                out.append(similarity(bag(a[k].as_py(), ta[k].as_py()), multisets([tb[k].as_py()], shingle)[1:]))
-            yield pa.record_batch([a, b, pa.array(out, pa.float64())], names=["a", "b", "similarity"])
+            a, b, text = (batch.column(c).to_pylist() for c in ("a", "b", "text"))
+            found = []
+            for x, y, t in zip(a, b, text, strict=True):
+                own = multisets([t], shingle)[1:]
+                if y is None:
+                    hub, bag = x, own
+                else:
+                    if x != hub:
+                        raise ValueError("a member without its hub")
+                    found.append((x, y, similarity(bag, own)))
+            cols = list(zip(*found, strict=True)) or [()] * 3
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.binary(), pa.float64()), strict=True)], names=["a", "b", "similarity"])
 
     return task
 
 
+#: Members that are compared with one copy of their hub's text, about.
+MEMBERS = 500
+
+
+def salted(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, salt, b, text: the members of each hub with their texts, dealt to groups of about MEMBERS, and first in each group, without b, the hub's own
+    text. However many members a hub has, no task gets them all, and its text travels once for each group."""
+    sizes = cut(pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("long").alias("groups")), "hub-sizes")
+    dealt = cut(pairs.join(sizes, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("groups"))).drop("groups"), "dealt-pairs")
+    own = texts.select("key", "text")
+    members = dealt.join(own.withColumnRenamed("key", "b"), "b").select("a", "salt", "b", "text")
+    hubs = dealt.select("a", "salt").distinct().join(own.withColumnRenamed("key", "a"), "a").select("a", "salt", F.lit(None).cast("binary").alias("b"), "text")
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return members.unionByName(hubs).repartition(n, "a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
+
+
 def verify(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """pairs (a, b) with their exact similarity; texts: key, text (binary), one row for each key."""
-    x = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
-    x = x.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
-    return x.select("a", "b", "text_a", "text_b").mapInArrow(_compare(shingle), "a binary, b binary, similarity double")
+    return salted(pairs, texts).select("a", "b", "text").mapInArrow(_compare(shingle), "a binary, b binary, similarity double")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -160,7 +175,10 @@ def components(links: DataFrame) -> DataFrame:
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = None
     while True:
-        edges = cut(star(cut(star(edges, True), "star"), False), "star")
+        large = cut(star(edges, True), "star")
+        small = cut(star(large, False), "star")
+        done(edges, large)
+        edges = small
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == mark:
             break
@@ -184,13 +202,14 @@ def classes(docs: DataFrame, similar: float = SIMILARITY, shingle: int = SHINGLE
     nodes = signed.where("bands is not null")
     # one row for each distinct text: tasks leave one each, so this is small work
     flat = nodes.select("key", "n", F.explode("bands").alias("band")).distinct()
-    several = flat.groupBy("band").agg(F.count("*").alias("many")).where("many > 1")
+    # grouped tables are written before they are joined with what they were made from: a join of two plain tables can split a key that many rows have
+    several = cut(flat.groupBy("band").agg(F.count("*").alias("many")).where("many > 1"), "several")
     met = cut(flat.join(several, "band"), "bands")
     # a band's hub is its most central member, the one that meets the most others over all bands: the original rather than a copy of it
-    central = met.groupBy("key").agg(F.sum("many").alias("meets"))
-    met = met.drop("many").join(central, "key")
-    hubs = met.groupBy("band").agg(F.max(F.struct("meets", "key")).alias("x")).select("band", F.col("x.key").alias("hub"))
-    shared = cut(met.drop("meets").join(hubs, "band"), "bands")
+    central = cut(met.groupBy("key").agg(F.sum("many").alias("meets")), "central")
+    hubs = cut(met.join(central, "key").groupBy("band").agg(F.max(F.struct("meets", "key")).alias("x")).select("band", F.col("x.key").alias("hub")), "hubs")
+    shared = cut(met.drop("many").join(hubs, "band"), "bands")
+    done(several, central, met, hubs)
     pairs = cut(shared.where("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
     needed = shared.select("key").distinct()
     # texts of the nodes that share a band, one row each: of a node's rows the one of its smallest doc_id
@@ -208,9 +227,9 @@ def classes(docs: DataFrame, similar: float = SIMILARITY, shingle: int = SHINGLE
     if left.head(1):
         links = links.unionByName(_further(left, roots, texts, similar, shingle))
         roots = components(links)
-    member = _rooted(signed.select("doc_id", "key", "n"), cut(roots, "roots"), "key", "root")
-    # the smallest doc_id of a class, at one row for each distinct text before the classes meet
-    name = member.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.max("n").alias("words"))
+    member = cut(_rooted(signed.select("doc_id", "key", "n"), cut(roots, "roots"), "key", "root"), "members")
+    name = cut(member.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.max("n").alias("words")), "names")
+    done(signed, shared, texts, checked)
     out = member.join(name, "root")
     # a copy without bands of its own (its task met the text before) has n = 0 as well; words tells it from a text without words
     own = F.when(F.col("words") > 0, F.col("class_id")).otherwise(F.col("doc_id"))
@@ -236,12 +255,12 @@ def _spread(parts: int, shingle: int):
             keys, texts = batch.column("key"), batch.column("text").to_pylist()
             doc, h, count = multisets(texts, shingle)
             where = (h % U(parts)).astype(np.int64)
+            order = np.argsort(where, kind="stable")
+            there, begin = np.unique(where[order], return_index=True)
             rows = []
-            for p in range(parts):
-                own = where == p
-                if own.any():
-                    docs, sizes = np.unique(doc[own], return_counts=True)
-                    rows.append((p, [keys[int(i)].as_py() for i in docs], sizes.tolist(), np.stack([h[own], count[own].astype(U)]).tobytes()))
+            for p, own in zip(there.tolist(), np.split(order, begin[1:]) if len(begin) else [], strict=True):
+                docs, sizes = np.unique(doc[own], return_counts=True)
+                rows.append((p, [keys[int(i)].as_py() for i in docs], sizes.tolist(), np.stack([h[own], count[own].astype(U)]).tobytes()))
             cols = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary()), strict=True)], names=["part", "keys", "sizes", "data"])
 
@@ -277,17 +296,21 @@ def _elements(text: bytes, shingle: int) -> np.ndarray:
 
 
 def _differences(shingle: int):
-    """(a, b, delta): the elements that one of the texts a and b has and the other lacks."""
+    """(hub, key, delta): the elements that one of both has and the other lacks, from rows of salted()."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, np.zeros(0, U)
+        held = np.zeros(0, U)
         for batch in batches:
-            out = []
-            for a, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("a", "text_a", "text_b")), strict=True):
-                if a != key:
-                    key, held = a, _elements(ta, shingle)
-                out.append(np.setxor1d(held, _elements(tb, shingle), assume_unique=True).view(np.int64))
-            yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(out, pa.list_(pa.int64()))], names=["hub", "key", "delta"])
+            a, b, text = (batch.column(c).to_pylist() for c in ("a", "b", "text"))
+            found = []
+            for x, y, t in zip(a, b, text, strict=True):
+                own = _elements(t, shingle)
+                if y is None:
+                    held = own
+                else:
+                    found.append((x, y, np.setxor1d(held, own, assume_unique=True).view(np.int64)))
+            cols = list(zip(*found, strict=True)) or [()] * 3
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.binary(), pa.list_(pa.int64())), strict=True)], names=["hub", "key", "delta"])
 
     return task
 
@@ -311,8 +334,7 @@ def _further(left: DataFrame, roots: DataFrame, texts: DataFrame, similar: float
     live = x.join(least, "band").where(F.col("s") >= similar * (F.col("n") + F.greatest("least", "s") - F.col("s")) - e)
     live = cut(live.select("hub", "key", "n", "s", "root").distinct(), "live")
     pairs = live.select(F.col("hub").alias("a"), F.col("key").alias("b"))
-    both = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
-    delta = both.select("a", "b", "text_a", "text_b").mapInArrow(_differences(shingle), "hub binary, key binary, delta array<long>")
+    delta = salted(pairs, texts).select("a", "b", "text").mapInArrow(_differences(shingle), "hub binary, key binary, delta array<long>")
     live = cut(_rooted(live.join(delta, ["hub", "key"]), roots, "hub", "main"), "live")
     y = live.select("hub", *(F.col(c).alias(f"{c}2") for c in ("key", "n", "s", "root", "delta")))
     shared = F.least("s", "s2")
