@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, done
 from .hashing import BASE, INVERSE, U, mix, powers, prefix
 from .suffixes import SHIFT, SEPARATOR, repeated
 
@@ -134,8 +134,33 @@ def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([int.from_bytes(keys[i][:8], "little", signed=True) for i in new], pa.int64()), pa.array([keys[i] for i in new], pa.binary()), pa.array([texts[i] for i in new], pa.binary())], names=["short", "key", "content"])
 
 
+_PLACES = pa.list_(pa.struct([("key", pa.binary()), ("at", pa.int64()), ("step", pa.int64()), ("times", pa.int64())]))
+
+
+def _extend(found: list[dict], key: bytes, at: int) -> None:
+    """Add a place behind the others of its text: as one more step of the last entry where it is one."""
+    last = found[-1] if found else None
+    if last and last["key"] == key and last["times"] == 1:
+        last["step"], last["times"] = at - last["at"], 2
+    elif last and last["key"] == key and at == last["at"] + last["step"] * last["times"]:
+        last["times"] += 1
+    else:
+        found.append({"key": key, "at": at, "step": 1, "times": 1})
+
+
+def _covered(place: tuple[bytes, int, int, int], low: int, high: int) -> Iterator[tuple[bytes, int, int]]:
+    """The bytes from low to high of what was found at these places, as spans; places that leave no gap give one."""
+    key, at, step, times = place
+    if step <= high - low:
+        yield key, at + low, at + step * (times - 1) + high
+    else:
+        for k in range(times):
+            yield key, at + step * k + low, at + step * k + high
+
+
 def _cut_runs(length: int, anchor: int):
-    """(h, away, data, found): the bytes of each run of windows with a repeated anchor, the first window's distance from it, and where it was found; runs of equal bytes in one batch are one row."""
+    """(h, away, data, found): the bytes of each run of windows with a repeated anchor, the first window's distance from it, and where it was found; runs of equal bytes in one batch are
+    one row. Places at equal steps are one entry, so that a text that repeats a few bytes has few of them, however long it is."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,8 +178,8 @@ def _cut_runs(length: int, anchor: int):
                 for i in np.flatnonzero(good).tolist():
                     t, s = int(text[i]) + a, int(at[i])
                     data = texts[t][s : s + int(many[i]) - 1 + length]
-                    rows.setdefault(data, (int(h[i]), int(place[i]) - s, []))[2].append({"key": keys[t][:16], "at": s})
-                found = pa.array([x[2] for x in rows.values()], pa.list_(pa.struct([("key", pa.binary()), ("at", pa.int64())])))
+                    _extend(rows.setdefault(data, (int(h[i]), int(place[i]) - s, []))[2], keys[t][:16], s)
+                found = pa.array([x[2] for x in rows.values()], _PLACES)
                 yield pa.record_batch([pa.array([x[0] for x in rows.values()], pa.int64()), pa.array([x[1] for x in rows.values()], pa.int32()), pa.array(list(rows), pa.binary()), found], names=["h", "away", "data", "found"])
 
     return task
@@ -197,20 +222,21 @@ class _Rows:
                 return
 
 
-_FOUND = "array<struct<key: binary, at: bigint>>"
+_FOUND = "array<struct<key: binary, at: bigint, step: bigint, times: bigint>>"
+Place = tuple[bytes, int, int, int]
 
 
-def _marks_of_shard(data: list[bytes], found: list[list[tuple[bytes, int]]], length: int) -> Iterator[tuple[bytes, int, int]]:
+def _marks_of_shard(data: list[bytes], found: list[list[Place]], length: int) -> Iterator[tuple[bytes, int, int]]:
     """(key, low, high): bytes to remove, from runs of equal anchors."""
     index: dict[bytes, int] = {}
-    places: list[list[tuple[bytes, int]]] = []
+    places: list[list[Place]] = []
     for x, f in zip(data, found, strict=True):
         k = index.setdefault(x, len(places))
         if k == len(places):
             places.append([])
         places[k] += f
     kept = list(index)
-    several = np.array([len(set(f)) > 1 for f in places], bool)
+    several = np.array([sum(x[3] for x in set(f)) > 1 for f in places], bool)
     sizes = np.array([len(x) for x in kept], np.int64)
     if len(kept) > 1 or len(kept[0]) > length:
         joined = np.full(int(sizes.sum()) + len(kept), SEPARATOR, np.uint16)
@@ -227,8 +253,8 @@ def _marks_of_shard(data: list[bytes], found: list[list[tuple[bytes, int]]], len
         own = np.ones(windows, bool) if several[k] else hit[starts[k] : starts[k] + windows]
         edge = np.flatnonzero(np.diff(np.concatenate([[False], own, [False]]).astype(np.int8)))
         for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-            for key, at in set(f):
-                yield key, at + a, at + b - 1 + length
+            for x in set(f):
+                yield from _covered(x, a, b - 1 + length)
 
 
 def _marks(length: int, shard: int = SHARD):
@@ -259,7 +285,7 @@ def _marks(length: int, shard: int = SHARD):
             for h, away, data, found in batch:
                 a, b = max(0, away - high), min(len(data) - length + 1, away - low + 1)
                 if a < b:
-                    own.setdefault(data[a : b - 1 + length], (h, away - a, []))[2].extend((k, at + a) for k, at in found)
+                    own.setdefault(data[a : b - 1 + length], (h, away - a, []))[2].extend((k, at + a, step, times) for k, at, step, times in found)
             out.add([(h, away, data, found) for data, (h, away, found) in own.items()], length)
         return out
 
@@ -288,9 +314,9 @@ def _marks(length: int, shard: int = SHARD):
         if rows.one_data:
             places = lambda: (f for batch in rows for x in batch for f in x[3])
             first = next(places(), None)
-            if any(f != first for f in places()):
-                for key, at in places():
-                    yield key, at, at + length
+            if any(f != first or f[3] > 1 for f in places()):
+                for x in places():
+                    yield from _covered(x, 0, length)
             rows.file.close()
         elif rows.weight <= shard:
             yield from marks(rows)
@@ -304,7 +330,7 @@ def _marks(length: int, shard: int = SHARD):
             for batch in batches:
                 own: dict[int, list] = {}
                 for h, away, data, found in zip(*(batch.column(c).to_pylist() for c in ("h", "away", "data", "found")), strict=True):
-                    own.setdefault((h & (1 << 64) - 1) >> 48 & 15, []).append((h, away, data, [(x["key"], x["at"]) for x in found]))
+                    own.setdefault((h & (1 << 64) - 1) >> 48 & 15, []).append((h, away, data, [(x["key"], x["at"], x.get("step", 1), x.get("times", 1)) for x in found]))
                 for k, rows in own.items():
                     if k not in files:
                         files[k] = _Rows(folder)
@@ -374,14 +400,16 @@ def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Data
     digested = source.select("text").mapInArrow(_digested, "short long, key binary, content binary")
     # tasks leave one row each of a text
     held = cut(digested.join(suspects, "short").select("key", "content", "hs").dropDuplicates(["key"]), "suspects")
+    done(anchors)
     size = held.agg(F.sum(F.least(F.size("hs") * F.lit(270), F.octet_length("content") * 4))).first()[0] or 0
     pieces = held.mapInArrow(_cut_runs(length, anchor), f"h long, away int, data binary, found {_FOUND}")
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION))
     marks = pieces.repartition(parts, "h").mapInArrow(_marks(length), "key binary, low long, high long")
     spans = marks.groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
-    done = held.select(F.substring("key", 1, 16).alias("k16"), "key", "content").join(spans.withColumnRenamed("key", "k16"), "k16").drop("k16")
-    done = cut(done.mapInArrow(_remove(length), "key binary, n_removed long, n_spans long, kept binary, spans array<struct<low: bigint, high: bigint>>"), "removed")
-    x = rows.join(several, "key", "left").join(done, "key", "left")
+    marked = held.select(F.substring("key", 1, 16).alias("k16"), "key", "content").join(spans.withColumnRenamed("key", "k16"), "k16").drop("k16")
+    cleaned = cut(marked.mapInArrow(_remove(length), "key binary, n_removed long, n_spans long, kept binary, spans array<struct<low: bigint, high: bigint>>"), "removed")
+    done(held)
+    x = rows.join(several, "key", "left").join(cleaned, "key", "left")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     nothing = F.lit(hashlib.sha256(b"").digest())
     zero = F.lit(0).cast("long")
