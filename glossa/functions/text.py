@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from urllib.parse import quote
 
 from pyspark.sql import Column
@@ -76,7 +75,3 @@ def unpack_relation(packed: Column) -> list[Column]:
         (packed.bitwiseAND(2) != 0).alias("ambiguous"),
         (packed.bitwiseAND(1) != 0).alias("flag"),
     ]
-
-
-def plain_words(text: str) -> list[str]:
-    return re.findall(r"[^ ]+", text)

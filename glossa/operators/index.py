@@ -21,24 +21,25 @@ INDIRECT = "http://glossa.invalid/indirect"
 #: What each profile leaves out.
 PROFILES = {"isize1": ("token",), "isize2": ("token", "begin", "end"), "isize3": ("token",), "isize4": ("token", "begin", "end"), "isize5": ()}
 COLLAPSED = frozenset({"isize3", "isize4", "isize5"})
+AT = ["doc", "path", "begin", "end", "token"]
 ENTRY = ["concept_url", "path", "relation_url", "token", "begin", "end", "l", "ambiguous"]
 
 
 def candidates(spans: DataFrame, kb: Kb) -> DataFrame:
-    """doc, path, begin, end, token, url, l, whole, sure: each span of match() with each concept it may be.
+    """doc, path, begin, end, token, url, l, whole, n, sure: each span of match() with each concept it may be.
 
     An exact label of one concept is sure (l: 0). An ambiguous label gives its concept, or those it is split into (l: -1). A label within some edits gives its
-    concept at that distance (-1 for none); if that is split, whole is the split concept, and url one of its parts.
+    concept at that distance (-1 for none); if that is split, whole is the split concept, and url its nth part.
     """
-    d = kb.dictionary.select("label", "url", "ambiguous")
-    parts = kb.edge.where(F.col("p") == SPLIT).select(F.col("s").alias("url"), F.col("o").alias("part"))
-    at = ["doc", "path", "begin", "end", "token"]
-    exact = spans.where("label is not null").select(*at, "label", F.lit(0).cast("long").alias("l"), F.lit(False).alias("fuzzy"))
-    fuzzy = spans.where("label is null and cands is not null").select(*at, F.explode("cands").alias("c")).select(*at, "c.label", F.when(F.col("c.l") == 0, -1).otherwise(F.col("c.l")).cast("long").alias("l"), F.lit(True).alias("fuzzy"))
-    x = exact.unionByName(fuzzy).join(d, "label").join(parts, "url", "left")
-    unsure = F.col("part").isNotNull() | F.col("ambiguous")
-    whole = F.when(F.col("fuzzy") & F.col("part").isNotNull(), F.col("url"))
-    return x.select(*at, F.coalesce("part", "url").alias("url"), F.when(unsure & (F.col("l") == 0), -1).otherwise(F.col("l")).cast("long").alias("l"), whole.alias("whole"), (~F.col("fuzzy") & ~unsure).alias("sure"))
+    # one pass over the spans: an exact label is its only candidate
+    only = F.array(F.struct("label", F.lit(0).cast("long").alias("l")))
+    x = spans.where("label is not null or cands is not null").select(*AT, F.col("label").isNull().alias("fuzzy"), F.explode(F.when(F.col("label").isNotNull(), only).otherwise(F.col("cands"))).alias("c"))
+    parts = kb.edge.where(F.col("p") == SPLIT).groupBy(F.col("s").alias("url")).agg(F.array_sort(F.collect_set("o")).alias("parts"))
+    x = x.select(*AT, "fuzzy", "c.label", "c.l").join(kb.dictionary.select("label", "url", "ambiguous"), "label").join(parts, "url", "left")
+    unsure = F.col("part").isNotNull() | F.col("ambiguous") | F.col("fuzzy")
+    x = x.select(*AT, "url", "ambiguous", "fuzzy", "l", F.posexplode_outer("parts").alias("n", "part"))
+    l = F.when(unsure & (F.col("l") == 0), -1).otherwise(F.col("l")).cast("long")  # noqa: E741
+    return x.select(*AT, F.coalesce("part", "url").alias("url"), l.alias("l"), F.when(F.col("fuzzy") & F.col("part").isNotNull(), F.col("url")).alias("whole"), F.coalesce("n", F.lit(0)).alias("n"), (~unsure).alias("sure"))
 
 
 def resolved(found: DataFrame, kb: Kb, resolvers: Sequence[Step]) -> DataFrame:
@@ -49,23 +50,23 @@ def resolved(found: DataFrame, kb: Kb, resolvers: Sequence[Step]) -> DataFrame:
     chosen = chain(spans, kb, resolvers).where("url is not null").withColumnRenamed("url", "chosen")
     x = found.join(chosen, at, "left")
     rest = x.where("chosen is null").drop("chosen")
-    done = x.where("chosen is not null").groupBy(*at, "path", "end", "token", "chosen").agg(F.lit(0).cast("long").alias("l")).withColumnRenamed("chosen", "url")
-    return rest.unionByName(done.withColumn("whole", F.lit(None).cast("string")).withColumn("sure", F.lit(True)))
+    done = x.where("chosen is not null").groupBy(*AT, "chosen").agg(F.lit(0).cast("long").alias("l")).withColumnRenamed("chosen", "url")
+    return rest.unionByName(done.withColumns({"whole": F.lit(None).cast("string"), "n": F.lit(0), "sure": F.lit(True)}))
 
 
 def fan_out(found: DataFrame, kb: Kb, mark_ambiguous: bool = False) -> DataFrame:
     """Postings of candidates: a direct one for each, and one for each edge of its concept, filed under the edge's object. Edges are joined, not walked:
-    closures are in them already. Spark broadcasts the edges if they are small. A split concept that is itself one candidate of several is posted directly,
+    closures are in them already, in one pass over the spans. Spark broadcasts the edges if they are small. A split concept that is itself one candidate of several is posted directly,
     and its parts by its split edges."""
     amb = (F.col("l") != 0) if mark_ambiguous else F.lit(False)
-    entry = lambda url, relation: [url.alias("concept_url"), "path", relation.alias("relation_url"), "token", "begin", "end", "l", amb.alias("ambiguous")]
-    plain = found.where("whole is null")
-    own = plain.select(*entry(F.col("url"), F.lit("")))
-    edges = kb.edge.where(F.col("p") != SPLIT).select(F.col("s").alias("url"), "p", "o")
-    far = plain.join(edges, "url").select(*entry(F.col("o"), F.col("p")))
-    nested = found.where("whole is not null")
-    split = nested.select(*entry(F.col("whole"), F.lit("")), "doc").distinct().drop("doc")
-    return own.unionByName(far).unionByName(split).unionByName(nested.select(*entry(F.col("url"), F.lit(SPLIT))))
+    edges = kb.edge.where(F.col("p") != SPLIT).groupBy(F.col("s").alias("url")).agg(F.collect_list(F.struct(F.col("o").alias("url"), F.col("p").alias("relation"))).alias("edges"))
+    entry = lambda url, relation: F.struct(url.alias("url"), relation.alias("relation"))
+    none = F.array().cast("array<struct<url: string, relation: string>>")
+    own = F.concat(F.array(entry(F.col("url"), F.lit(""))), F.coalesce("edges", none))
+    split = F.array(entry(F.col("url"), F.lit(SPLIT)))
+    split = F.when(F.col("n") == 0, F.concat(F.array(entry(F.col("whole"), F.lit(""))), split)).otherwise(split)
+    x = found.join(edges, "url", "left").withColumn("x", F.explode(F.when(F.col("whole").isNull(), own).otherwise(split)))
+    return x.select(F.col("x.url").alias("concept_url"), "path", F.col("x.relation").alias("relation_url"), "token", "begin", "end", "l", amb.alias("ambiguous"))
 
 
 def postings(spans: DataFrame, kb: Kb, mark_ambiguous: bool = False, resolvers: Sequence[Step] = ()) -> DataFrame:
