@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa.llm import minhash, mixing, packing, pii, quality
-from glossa.llm.common import cut
+from glossa.llm.common import cut, done
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -33,7 +33,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often, and as far, as the mix takes them: at most twice."""
+    """Documents as often, and as far, as the mix takes them: at most twice, in the order of its schedule."""
     return _counted(mixing.mixed(docs))
 
 
@@ -49,7 +49,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, each on the written rows of the one before it, which go once they are read."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    last = None
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), name)
+        if last is not None:
+            done(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
