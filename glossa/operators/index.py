@@ -46,8 +46,7 @@ def resolved(found: DataFrame, kb: Kb, resolvers: Sequence[Step]) -> DataFrame:
     """Rows of candidates() after a chain of resolvers: a span that it settled has one sure row of the chosen concept, others are as they were."""
     at = ["doc", "begin"]
     found = written(found, "candidates")  # read twice, matched once
-    spans = found.groupBy(*at).agg(F.array_sort(F.collect_list("url")).alias("urls"), F.max("sure").alias("sure"))
-    chosen = chain(spans, kb, resolvers).where("url is not null").withColumnRenamed("url", "chosen")
+    chosen = chain(found, kb, resolvers).where("url is not null").withColumnRenamed("url", "chosen")
     x = found.join(chosen, at, "left")
     rest = x.where("chosen is null").drop("chosen")
     done = x.where("chosen is not null").groupBy(*AT, "chosen").agg(F.lit(0).cast("long").alias("l")).withColumnRenamed("chosen", "url")

@@ -66,18 +66,6 @@ def steps(names: Sequence[str], size: int = 10, threshold: float = 0.5) -> list[
     return [Step(n, size, threshold) for n in names]
 
 
-def make(step: Step, targets: Mapping[str, tuple[str, ...]], rules: Mapping[str, str], names: Mapping[str, str]) -> Resolver:
-    """names: the url of each name in the rules."""
-    kind = step.name.lower()
-    return simple(targets) if kind == "simple" else thematic(targets, step.threshold) if kind == "thematic" else ruled(rules, names.__getitem__)
-
-
-def targets(kb: Kb) -> dict[str, tuple[str, ...]]:
-    """The objects of each concept's edges, one for each edge. The knowledge base's edges go to the tasks with the code, as its labels do."""
-    rows = kb.edge.where(F.col("p") != SPLIT).groupBy("s").agg(F.sort_array(F.collect_list("o")).alias("o")).collect()
-    return {r.s: tuple(r.o) for r in rows}
-
-
 def _fold(urls: list[list[str]], sure: list[bool], resolver: Resolver, size: int, near: Mapping[str, tuple[str, ...]]) -> list[str | None]:
     """The concept of each span: its own where it is sure, else the one chosen, or none. What is known is remembered."""
     memory, out = Memory(size, []), []
@@ -89,32 +77,46 @@ def _fold(urls: list[list[str]], sure: list[bool], resolver: Resolver, size: int
     return out
 
 
-def chain(spans: DataFrame, kb: Kb, order: Sequence[Step]) -> DataFrame:
-    """spans (doc, begin, urls array, sure) with url: the concept of a span that is sure, or the one that the chain of resolvers chose; null where none did.
+def chain(found: DataFrame, kb: Kb, order: Sequence[Step]) -> DataFrame:
+    """doc, begin, url: the concept of each span that is sure, or that the chain of resolvers chose; null where none did. found: doc, begin, url, sure, one row for each concept that
+    a span may be.
 
     As in a chain of filters built from the last name to the first, the last step of `order` sees the spans first; each has a memory of its own for each
-    document, and what it resolves is sure for the others. doc tells documents apart.
+    document, and what it resolves is sure for the others. doc tells documents apart. The targets of concepts are joined to the rows, so the knowledge base may be large;
+    its rules go to the tasks with the code.
     """
-    near, rules, known = targets(kb), {}, {}
+    rules, known = {}, {}
     if any(s.name.lower() == "ruled" for s in order):
         rules = {r.url: r.expr for r in kb.rules.collect()}
         known = known_names(kb, sorted({n for r in rules.values() for n in names(r)}))
         compile_rules(rules, lambda _: known)  # an error in a rule shows here
+    edges = kb.edge.where(F.col("p") != SPLIT).groupBy(F.col("s").alias("url")).agg(F.sort_array(F.collect_list("o")).alias("targets"))
     order = list(reversed(order))
-    made: list[Resolver] = []  # compiled once in each task
+    by_rules: list[Resolver] = []  # compiled once in each task
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        if not made:
-            made.extend(make(s, near, rules, known) for s in order)
-        pdf = pdf.sort_values(["begin"], kind="stable")
-        urls, sure = [list(u) for u in pdf["urls"]], pdf["sure"].tolist()
-        for step, resolver in zip(order, made, strict=True):
+        if not by_rules:
+            by_rules.append(ruled(rules, known.__getitem__))
+        near = {u: () if t is None else tuple(t) for u, t in zip(pdf["url"], pdf["targets"], strict=True)}
+        kinds = {"simple": simple(near), "ruled": by_rules[0]}
+        pdf = pdf.sort_values(["begin", "url"], kind="stable")
+        begins, urls, sure = [], [], []
+        for at, url, known_ in zip(pdf["begin"].tolist(), pdf["url"], pdf["sure"].tolist(), strict=True):
+            if not begins or begins[-1] != at:
+                begins.append(at)
+                urls.append([])
+                sure.append(known_)
+            if url not in urls[-1]:
+                urls[-1].append(url)
+        for step in order:
+            resolver = kinds.get(step.name.lower()) or thematic(near, step.threshold)
             found = _fold(urls, sure, resolver, step.size, near)
             urls = [[f] if f is not None else u for f, u in zip(found, urls, strict=True)]
             sure = [s or f is not None for s, f in zip(sure, found, strict=True)]
-        return pd.DataFrame({"doc": pdf["doc"].to_numpy(), "begin": pdf["begin"].to_numpy(), "url": [u[0] if s else None for u, s in zip(urls, sure, strict=True)]})
+        return pd.DataFrame({"doc": [pdf["doc"].iloc[0]] * len(begins), "begin": begins, "url": [u[0] if s else None for u, s in zip(urls, sure, strict=True)]})
 
-    return spans.select("doc", "begin", "urls", "sure").groupBy("doc").applyInPandas(fold, "doc long, begin long, url string")
+    rows = found.select("doc", "begin", "url", "sure").join(edges, "url", "left")
+    return rows.groupBy("doc").applyInPandas(fold, "doc long, begin long, url string")
 
 
 def resolve(spans: DataFrame, make: Callable[[], Resolver], size: int = 10, targets: Mapping[str, tuple[str, ...]] | None = None) -> DataFrame:

@@ -126,9 +126,9 @@ def test_chains(spark, order):
     near = {u: tuple(r.sample("pqrs", r.randrange(3))) for u in "ABCD"}
     k = kb.Kb(None, spark.createDataFrame([(s, "e", o) for s, ts in near.items() for o in ts], "s string, p string, o string"), None, spark.createDataFrame([], "url string, expr string"))
     docs = {d: [(sorted(r.sample("ABCD", n)), n == 1 and r.random() < 0.8) for n in r.choices([1, 1, 2, 3], k=20)] for d in range(6)}
-    rows = [(d, at * 10, urls, sure) for d, ts in docs.items() for at, (urls, sure) in enumerate(ts)]
+    rows = [(d, at * 10, url, sure) for d, ts in docs.items() for at, (urls, sure) in enumerate(ts) for url in urls]
     r.shuffle(rows)
-    got = resolve.chain(spark.createDataFrame(rows, "doc long, begin long, urls array<string>, sure boolean"), k, [resolve.Step(n, size, 0.4) for n, size in order])
+    got = resolve.chain(spark.createDataFrame(rows, "doc long, begin long, url string, sure boolean"), k, [resolve.Step(n, size, 0.4) for n, size in order])
     found = collections.defaultdict(list)
     for x in got.orderBy("doc", "begin").collect():
         found[x.doc].append(x.url)
