@@ -124,7 +124,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     used = used.agg(*(F.max(turn(F.col(c), t)).alias(f"_{c}{int(t)}") for t in (False, True) for c in ("taken", "slot")))
     # of a block's part in a document, what lies within the words that a slot takes
     part = lambda t: F.greatest(F.lit(0), F.least(F.col("_high"), F.coalesce(F.col(f"_taken{t}"), F.lit(0))) - F.col("_low"))
-    got = pieces.join(used, ["sid", "block"], "left").groupBy(*own, "sid", "_at")
+    # slots compress so well that the size of their table tells little of what a broadcast would hold
+    got = pieces.join(used.hint("merge"), ["sid", "block"], "left").groupBy(*own, "sid", "_at")
     got = got.agg(
         F.sum(part(0) + part(1)).cast("long").alias("taken"), F.sum(part(0)).cast("long").alias("first"),
         *(F.min(F.when(part(t) > 0, F.struct("block", f"_slot{t}")))[f"_slot{t}"].alias(name) for t, name in ((0, "slot"), (1, "second_slot"))),
