@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from .common import BLANKS, cut, done, n_words, words
 
 WINDOW = 5
-#: Rows on which costs and selectivities are measured, and how often each is evaluated, so that a rule's cost stands out from a job's.
-SAMPLE_ROWS, REPEATS = 500, 8
+#: Rows on which costs and selectivities are measured, how often a rule is evaluated on each, at first and if it is cheap, and the seconds that the latter may take.
+SAMPLE_ROWS, REPEATS, PATIENCE = 500, (2, 32), 2.0
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -105,32 +105,35 @@ def features(text: Column, words: Column, known: Collection[str] = ()) -> Callab
     return lambda name: F.col(name) if name in known else FEATURES[name](text, words)
 
 
-def measure(docs: DataFrame, rules: dict[str, Rule] = RULES, text: str = "text", rows: int = SAMPLE_ROWS, repeats: int = REPEATS) -> dict[str, tuple[float, float]]:
+def measure(docs: DataFrame, rules: dict[str, Rule] = RULES, text: str = "text", rows: int = SAMPLE_ROWS) -> dict[str, tuple[float, float]]:
     """rule -> (seconds a row, share rejected) over a sample of at most `rows` rows.
 
-    Each rule is evaluated on every sampled row `repeats` times in one task, once to compile and once with the clock; what the same job takes that only
-    reads the rows is subtracted.
+    Each rule is evaluated on every sampled row a few times in one task; if that takes little more than the same job without a rule, many times, now that the job is
+    compiled. What the job takes that only reads the rows as often is subtracted.
     """
     t = F.col(text).cast("string")
     table = cut(docs.select(t.alias("t"), words(t).alias("w")).limit(rows), "quality-sample")
-    many = table.coalesce(1).withColumn("again", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
     x = features(F.col("t"), F.col("w"))
 
-    def took(value: Column) -> tuple[float, float, int]:
-        # the copy's number is part of the sum, so that no copy is spared
-        job = many.agg(F.sum(F.when(value, F.col("again")).otherwise(0)), F.sum("again"))
-        job.first()
+    def took(value: Column, repeats: int) -> tuple[float, float, int]:
+        """Seconds, share and evaluations. The copy's number is part of the sum, so that no copy is spared."""
+        many = table.coalesce(1).withColumn("again", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
         began = time.perf_counter()
-        hits, n = job.first()
-        return time.perf_counter() - began, (hits or 0) / max(n or 0, 1), n or 0
+        hits, weight = many.agg(F.sum(F.when(value, F.col("again")).otherwise(0)), F.sum("again")).first()
+        return time.perf_counter() - began, (hits or 0) / max(weight or 0, 1), max(1, (weight or 0) * 2 // (repeats + 1))
 
-    idle, _, weight = took(F.octet_length("t") + F.size("w") < 0)
-    n = max(1, weight // (repeats + 1) * 2)  # rows, each copy counted
+    few, more = REPEATS
+    nothing = F.octet_length("t") + F.size("w") < 0
+    idle = {few: took(nothing, few)[0], more: took(nothing, more)[0]}
     out = {}
     for name, f in rules.items():
-        seconds, share, _ = took(f(x))
-        # of differences that drown in the job's own time, a thousandth of it is told
-        out[name] = (max(seconds - idle, idle / 1000) / n, share)
+        repeats = few
+        seconds, share, n = took(f(x), few)
+        if (seconds - idle[few]) * more / few < PATIENCE:
+            repeats = more
+            seconds, share, n = took(f(x), more)
+        # of a difference that drowns in the job's own time, a hundredth of that is told
+        out[name] = (max(seconds - idle[repeats], idle[repeats] / 100) / n, share)
     done(table)
     return out
 
