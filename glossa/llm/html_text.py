@@ -5,8 +5,8 @@ from its stop-word density, length and link density, and from containers that ar
 like). Blocks that stay undecided, mostly short ones, take the label of their nearest decided neighbour in the second pass. Inside an article
 or main element, neighbours outside it do not count, and blocks are text where nothing decides otherwise.
 
-Containers and articles are evidence, not filters. A form, or a container known by its class alone, is opened where it holds most of the page's prose and
-hardly any is left without it: such a container is the page's layout. Articles that hold less prose than the rest of the page are not the page's article, and then
+Containers and articles are evidence, not filters. A form, or a container known by its class alone that holds an article's worth of prose, is opened where it
+holds most of the page's prose and hardly any is left without it: such a container is the page's layout. Articles that hold less prose than the rest of the page are not the page's article, and then
 all blocks that the rules call text are. Stop words say nothing about scripts, and about pages in languages, that they do not cover: there length and links decide.
 
 A null or empty page has no text. Broken markup is read as it comes: unclosed elements end with their container, text after an unfinished tag
@@ -64,6 +64,8 @@ SHORT, LONG, LINKS, LOW, HIGH = 70, 200, 0.5, 0.10, 0.25
 #: Of the prose of long blocks, the share with stop words under which they do not cover the page's language; of the prose a container holds, the share that may be left
 #: without it where it is opened.
 COVERED, REST = 0.2, 0.1
+#: Characters of prose without which a container that is known by its class alone is no layout.
+ARTICLE = 400
 HARD, SOFT = 2, 1
 
 
@@ -107,12 +109,14 @@ def _classed(a: dict[str, str]) -> int:
 
 
 class _Reader:
-    """Reads a page into blocks. Of each container that is never text: hard, whether it or one around it is HARD; around, the next one around it, or -1."""
+    """Reads a page into blocks. Of each container that is never text: hard, whether it or one around it is HARD; around, the next one around it, or -1; least, the
+    prose it must hold to be the page's layout."""
 
     def __init__(self, page: str):
         self.out: list[Block] = []
         self.hard: list[bool] = []
         self.around: list[int] = []
+        self.least: list[int] = []
         # open elements: name, innermost container that is never text, article, whether in an article element, whether an article cannot reopen it
         self.stack: list[tuple[str, int, int, bool, bool]] = []
         self.open: dict[str, int] = {}  # how many of each name are in the stack
@@ -179,6 +183,7 @@ class _Reader:
         if kind:
             self.hard.append(kind == HARD or closed >= 0 and self.hard[closed])
             self.around.append(closed)
+            self.least.append(0 if name in LAYOUT else ARTICLE)
             closed, final = len(self.hard) - 1, final or kind == HARD or name in LAYOUT
         if name != "p":
             self.push(name, closed, article, own, final)
@@ -318,7 +323,7 @@ def _layout(reader: _Reader, kept: list[bool], opened: list[bool]) -> int | None
     for c in reversed(range(len(held))):  # containers around others come before them
         if reader.around[c] >= 0:
             held[reader.around[c]] += held[c]
-    shut = [c for c in range(len(held)) if not opened[c] and not reader.hard[c]]
+    shut = [c for c in range(len(held)) if not opened[c] and not reader.hard[c] and held[c] >= reader.least[c]]
     most = max((held[c] for c in shut), default=0)
     if 2 * most <= whole or left > REST * most:
         return None

@@ -51,10 +51,11 @@ def test_known_main_texts():
 
 
 def test_layout_containers_are_opened():
-    long = EN * 3
+    long = EN * 6
     for page in (f"<form id=f><div class=nav>x</div><p>{long}</p></form>", f'<div class="page-sidebar"><form><p>{long}</p></form></div>', f"<form><form><div class=menu><p>{long}</p></div></form></form>"):
         assert extract(page) == long.strip()
     assert extract(f"<form><article><h1>A heading</h1><p>{long}</p></article><nav><p>{EN}</p></nav></form>") == f"A heading\n{long.strip()}"
+    assert extract(f"<form><p>{EN * 3}</p></form>") == (EN * 3).strip() and extract(f"<div class=sidebar><p>{EN * 3}</p></div>") == ""
     # what is not layout stays closed, also where nothing else is there
     for a in ("hidden", 'id="comments"', 'class="cookie-banner"', "class=ad", "role=search"):
         assert extract(f"<div {a}><p>{long}</p></div>") == ""
