@@ -213,7 +213,7 @@ def classes(docs: DataFrame, similar: float = SIMILARITY, shingle: int = SHINGLE
     pairs = cut(shared.where("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
     needed = shared.select("key").distinct()
     # texts of the nodes that share a band, one row each: of a node's rows the one of its smallest doc_id
-    named = signed.join(needed, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("_id"))
+    named = signed.groupBy("key").agg(F.min("doc_id").alias("_id")).join(needed, "key", "left_semi")
     texts = source.withColumn("_key", F.substring(F.unhex(F.sha2("text", 256)), 1, 16))
     texts = texts.join(named, (texts["_key"] == named["key"]) & texts["doc_id"].eqNullSafe(named["_id"])).select("key", "text")
     texts = cut(texts.mapInArrow(_first_of_key, "key binary, text binary").dropDuplicates(["key"]), "texts")
